@@ -7,16 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkledger.llm import simhash
+from sparkledger.llm import brown, lengths, packing, simhash
+from sparkledger.llm.base import crc_bucket
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path() -> str:
+    """The tokenizer file of the production queries, where the public tokenizers are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+def op7_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_bucket(F.col("doc_id"), 7) == 2
+    model, counts = brown.fit(docs.where(~held_out))
+    scored = brown.score(docs, model, counts)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir), tokenizer_path()))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash_near_dedup": op10_simhash_near_dedup}
+    found = [op4_best_fit_packing, op7_brown_scores, op9_length_histogram, op10_simhash_near_dedup]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
