@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import io
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +62,30 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once a Spark context, so that it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_sparkledger_shipped", False):
+        return
+    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    path = f"{shared_path(spark, 'code')}/sparkledger.zip"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    context.addPyFile(path)
+    context._sparkledger_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session to `rows`, so that long texts don't fill a worker's memory."""
+    """Bound the Arrow batches of this session to `rows`, so that long texts don't fill a worker's memory.
+
+    Every operator that runs Python on the executors calls this first; it also sends them this package.
+    """
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)

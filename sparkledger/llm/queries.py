@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkledger.llm import brown, lengths, packing, simhash
+from sparkledger.llm import brown, lengths, packing, simhash, toxicity
 from sparkledger.llm.base import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +28,14 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", toxicity.is_toxic(F.col("score")).alias("predicted"))
+
+
 def op7_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_bucket(F.col("doc_id"), 7) == 2
@@ -46,7 +54,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_best_fit_packing, op7_brown_scores, op9_length_histogram, op10_simhash_near_dedup]
+    found = [op4_best_fit_packing, op6_toxicity, op7_brown_scores, op9_length_histogram, op10_simhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
