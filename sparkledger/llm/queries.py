@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkledger.llm import brown, lengths, packing, simhash, toxicity
+from sparkledger.llm import brown, hilbert, imatch, lengths, packing, simhash, topk, toxicity, warc
 from sparkledger.llm.base import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,10 +24,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    revisit = F.col("type") == "revisit"
+    stated = F.regexp_extract("http_head", r"(?im)^Content-Length: ([0-9]+)", 1).cast("long")
+    return found.select(
+        F.col("record_id").alias("page_id"),
+        F.when(revisit, stated).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(warc.sha1_base32(F.col("payload"))).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(documents(spark, sf_dir))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_bucket(F.col("doc_id"), 4) == 2
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -44,6 +65,10 @@ def op7_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op8_impact_ordered_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 def op9_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(documents(spark, sf_dir), tokenizer_path()))
 
@@ -54,7 +79,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_best_fit_packing, op6_toxicity, op7_brown_scores, op9_length_histogram, op10_simhash_near_dedup]
+    found = [
+        op2_warc_round_trip, op3_imatch, op4_best_fit_packing, op5_hilbert_shards, op6_toxicity,
+        op7_brown_scores, op8_impact_ordered_top_k, op9_length_histogram, op10_simhash_near_dedup,
+    ]
     return {f.__name__: f for f in found}
 
 
