@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkledger.llm import brown, hilbert, imatch, lengths, packing, simhash, topk, toxicity, warc
+from sparkledger.llm import brown, hilbert, imatch, lengths, mixing, packing, simhash, topk, toxicity, warc
 from sparkledger.llm.base import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Shares of tokens that the mixture aims at, by domain.
+MIXTURE = {"high": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found, report = mixing.rates(documents(spark, sf_dir), labelled, MIXTURE)
+    names = [F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(report["domains"])]
+    rows = found.select(F.col("id").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"), *names, "rate", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.drop("copy")
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     revisit = F.col("type") == "revisit"
@@ -80,7 +92,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op2_warc_round_trip, op3_imatch, op4_best_fit_packing, op5_hilbert_shards, op6_toxicity,
+        op1_soft_mixing, op2_warc_round_trip, op3_imatch, op4_best_fit_packing, op5_hilbert_shards, op6_toxicity,
         op7_brown_scores, op8_impact_ordered_top_k, op9_length_histogram, op10_simhash_near_dedup,
     ]
     return {f.__name__: f for f in found}
