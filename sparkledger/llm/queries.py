@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkledger.llm import brown, hilbert, imatch, lengths, mixing, packing, simhash, topk, toxicity, warc
+from sparkledger.llm import brown, hilbert, imatch, lengths, mixing, oracles, packing, simhash, topk, toxicity, warc
 from sparkledger.llm.base import crc_bucket
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -99,4 +99,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; tests hold the others against brute force."""
+    return {
+        "op2_warc_round_trip": oracles.warc(),
+        "op3_imatch": oracles.imatch_fingerprints(),
+        "op5_hilbert_shards": oracles.hilbert_shards(),
+        "op8_impact_ordered_top_k": oracles.top_k(),
+    }
