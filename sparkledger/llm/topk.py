@@ -1,9 +1,11 @@
 """Exact top-k inner products by an impact-ordered, score-at-a-time index.
 
-Vectors are quantised to integers, which are the impacts. A block of candidates is indexed by posting segments: all
-candidates that have one impact in one dimension. A query takes the segments of its block by descending contribution,
-whatever the dimension, adding it to its candidates' accumulators. It stops only on proof: once few candidates can
-still reach the k-th best lower bound with all that their unread segments may add; those are rescored exactly.
+Vectors are quantised to integers; what a component exceeds the least one of its dimension by is its impact. The index
+of a block of candidates serves each impact in parts of descending size (4096s, 1024s, ... 4s, 1s): a posting segment
+holds, for one dimension and size, the candidates' parts of that size. A query takes the segments by descending size,
+over all dimensions, into its candidates' accumulators; what the unread, smaller parts can still add or take is
+bounded by the query alone. It stops only on proof: once few candidates can still reach the k-th best lower bound.
+Those are rescored exactly. Queries of a block read each segment together, as one matrix product.
 
 Blocks bound every task: each pair of a query block and a candidate block is one group, and at most k rows a query
 leave it.
@@ -20,92 +22,73 @@ from sparkledger.llm.base import small_batches
 
 #: Rows of a candidate block and of a query block.
 CANDIDATES, QUERIES = 8192, 512
-#: Impacts told apart in a dimension; a wider range of values shares levels.
-LEVELS = 512
-#: Shares of a block's postings after which a query looks whether it may stop.
-STOPS = (0.5, 0.7, 0.85)
+#: Parts of an impact are as many times smaller from one size to the next.
+FACTOR = 4
+#: A query stops when at most this share of a block can still be among its best.
+FEW = 1 / 8
+#: Scaled components stay below this, so that scores are longs.
+LARGEST = 1 << 27
 #: Integers up to which sums in doubles are exact.
 _EXACT = 1 << 53
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
     """(id, v) of the vectors that take part: not null or empty, all components present, finite and, scaled, longs."""
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) * scale >= float(1 << 31)))
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) * scale >= float(LARGEST)))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~bad)
     return rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("v"))
 
 
 class Index:
-    """Posting segments of one block: for each dimension, the candidates by impact."""
+    """Posting segments of one block, by descending size of the parts they hold."""
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows = rows
-        n, dims = rows.shape
-        self.low, self.high = rows.min(0), rows.max(0)
-        width = -(-(self.high - self.low + 1) // LEVELS)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.ids = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(rows, order, 0).T.astype(float))
-        dim, level, size = [], [], []
-        for d in range(dims):
-            at, count = np.unique((rows[:, d] - self.low[d]) // width[d], return_counts=True)
-            dim.append(np.full(len(at), d))
-            level.append(at)
-            size.append(count)
-        self.dim, level, self.size = map(np.concatenate, (dim, level, size))
-        # the impacts of a segment lie between these
-        self.least = self.low[self.dim] + level * width[self.dim]
-        self.most = np.minimum(self.least + width[self.dim] - 1, self.high[self.dim])
-
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows of the block among which its k best (and all that tie with the last) are, proven by bounds."""
-        n, dims = self.rows.shape
+        impacts = rows - rows.min(0)
+        self.highest = impacts.max(0)
+        size = 1
+        while size * FACTOR <= self.highest.max():
+            size *= FACTOR
+        self.segments: list[tuple[int, np.ndarray]] = []
+        left = impacts
+        while size:
+            self.segments.append((size, np.ascontiguousarray((left - left % size).T.astype(float))))
+            left, size = left % size, size // FACTOR
+
+    def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the rows of the block among which its k best (and all that tie with the last) are, proven by bounds."""
+        n = len(self.rows)
         if n <= 4 * k:
-            return np.arange(n)
-        # contributions are counted from the least one in their dimension, so that none is negative
-        least_of = np.where(query >= 0, query * self.low, query * self.high)
-        q = query[self.dim]
-        upper = np.maximum(q * self.least, q * self.most) - least_of[self.dim]
-        order = np.argsort(-upper, kind="stable")
-        order = order[: np.searchsorted(-upper[order], 0, "left")]  # the rest adds nothing
-        postings = np.cumsum(self.size[order])
-        # doubles are exact unless impacts are very large
-        slack = 0 if upper.max() * dims < _EXACT else 1e-9 * upper.max() * dims
-        acc, done, begun = np.zeros(n), np.zeros(dims, np.int64), 0
-        for stop in (*STOPS, 1.0):
-            to = len(order) if stop == 1.0 else int(np.searchsorted(postings, stop * n * dims))
-            segs = order[begun:to]
-            # the segments that a query has read of a dimension are one end of its sorted postings
-            upto = done + np.bincount(self.dim[segs], self.size[segs], dims).astype(np.int64)
-            ids, adds = [], []
-            for d in np.flatnonzero(upto > done).tolist():
-                part = slice(n - upto[d], n - done[d]) if query[d] > 0 else slice(done[d], upto[d])
-                ids.append(self.ids[d, part])
-                adds.append(self.values[d, part] * query[d] - least_of[d])
-            if ids:
-                acc += np.bincount(np.concatenate(ids), np.concatenate(adds), n)
-            done, begun = upto, max(begun, to)
-            left = order[begun:]
-            rest = np.zeros(dims)
-            np.maximum.at(rest, self.dim[left], upper[left])
-            bar = np.partition(acc, n - k)[n - k]
-            possible = np.flatnonzero(acc + (rest.sum() + slack) >= bar)
-            if len(possible) <= max(8 * k, n // 32):
+            return [np.arange(n)] * len(queries)
+        found: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
+        q = queries.astype(float)
+        gains = np.abs(q).sum(1)
+        most = np.abs(q) @ self.highest
+        acc, active = np.zeros((len(queries), n)), np.arange(len(queries))
+        for size, parts in self.segments:
+            acc += q[active] @ parts
+            # unread parts of one posting add up to less than this size, whichever way the query counts them
+            open_by = gains[active] * (size - 1) + np.where(most[active] < _EXACT, 0.0, 1e-9 * most[active])
+            bar = np.partition(acc, n - k, axis=1)[:, n - k] - open_by
+            possible = acc >= bar[:, None]
+            done = (possible.sum(1) <= max(8 * k, FEW * n)) | (size == 1)
+            for i in np.flatnonzero(done).tolist():
+                found[active[i]] = np.flatnonzero(possible[i])
+            acc, active = acc[~done], active[~done]
+            if not len(active):
                 break
-        return possible
+        return found
 
 
 def _block(key: tuple, cands: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = {"query_id": [], "query_hash": [], "vec_id": [], "score": []}
     if len(cands) and len(queries):
         ids, rows = cands["id"].to_numpy(np.int64), np.stack(cands["v"].to_numpy()).astype(np.int64)
-        index = Index(rows)
-        for qid, qh, v in zip(queries["id"], queries["h"], queries["v"], strict=True):
-            query = np.asarray(v, np.int64)
-            # rows with the query's own id take no part, so as many more may stand before the k-th
-            own = int((ids == qid).sum())
-            at = index.candidates(query, min(len(ids), k + own))
+        asked = np.stack(queries["v"].to_numpy()).astype(np.int64)
+        # rows with the query's own id take no part, so as many more may stand before the k-th
+        own = int(pd.Series(ids[np.isin(ids, queries["id"])]).value_counts().max()) if np.isin(ids, queries["id"]).any() else 0
+        for qid, qh, query, at in zip(queries["id"], queries["h"], asked, Index(rows).candidates(asked, min(len(ids), k + own)), strict=True):
             at = at[ids[at] != qid]
             score = rows[at] @ query
             best = np.lexsort((ids[at], -score))[:k]
@@ -120,7 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id
     """(query_id, rank, vec_id, score): for each row that `is_query` marks its k best others by integer inner product.
 
     Components x become floor(scale * x). Ties go to the smaller id. Vectors that are null, empty or hold null or
-    non-finite components (or such as exceed 2**31 when scaled), and rows with a null id, take no part; only vectors
+    non-finite components (or such as reach LARGEST when scaled), and rows with a null id, take no part; only vectors
     of equal length meet. Rows with the query's id are its own. Repeated rows are each a candidate; a query row that
     is repeated is answered once, two queries that share an id but not the vector each for itself. `is_query` may use
     the id column, named id.
