@@ -2,8 +2,8 @@
 
 A classifier fitted on a labelled table gives each document a posterior over domains. Non-negative document rates are
 then sought whose expected token totals by domain, sum over documents of rate * tokens * posterior, match the targets:
-least squares by accelerated projected gradient, from a rate of one. The gradient has one entry a domain, so a step is
-one aggregation over a narrow table, and a document's rate is replayed from the short history of steps.
+least squares by projected gradient, scaled by the curvature, from a rate of one. The gradient has one entry a domain,
+so a step is one aggregation over a narrow table, and a document's rate is replayed from the short history of steps.
 """
 
 from __future__ import annotations
@@ -12,13 +12,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkledger.llm.base import broadcast_if_small, materialise
+from sparkledger.llm.base import broadcast_if_small, discard, materialise
 
 #: Buckets that words are hashed into, labelled documents of a domain that a classifier is fitted on at most.
 BUCKETS, PER_DOMAIN = 4096, 2000
 #: A document's evidence counts as much as this many words', so that long texts keep soft memberships.
 EVIDENCE = 12
-STEPS, TOLERANCE = 60, 1e-6
+STEPS, TOLERANCE = 60, 1e-5
+#: Steps after which rates are written down, so that no rate is replayed from more.
+REPLAY = 10
 
 
 def _words(text: Column) -> Column:
@@ -83,66 +85,89 @@ def posteriors(docs: DataFrame, model: tuple[list[str], dict[str, float], DataFr
     return found.select("id", "tag", "copies", "tokens", *[(F.col(f"e{i}") / whole).alias(f"p{i}") for i in range(k)])
 
 
-def _replayed(start: Column, least: float, k: int, history: list[tuple[float, np.ndarray]]) -> Column:
-    """A document's next rate, from the momentum and gradient of every step so far.
+def _replayed(least: float, k: int, history: list[np.ndarray]) -> Column:
+    """A document's rate: the one stored, moved and projected by each step since.
 
     The steps are an array literal that is folded, so the expression doesn't grow with them.
     """
     if not history:
-        return F.struct(start.alias("now"), start.alias("ahead"))
-    steps = F.array(*[F.struct(F.lit(float(beta)).alias("beta"), *[F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(grad)]) for beta, grad in history])
+        return F.col("now")
+    steps = F.array(*[F.struct(*[F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(y)]) for y in history])
+    moved = lambda r, s: r - sum((F.col(f"p{i}") * s[f"g{i}"] for i in range(1, k)), F.col("p0") * s["g0"])
+    return F.aggregate(steps, F.col("now"), lambda r, s: F.greatest(moved(r, s), F.lit(float(least))))
 
-    def step(acc: Column, s: Column) -> Column:
-        moved = acc["ahead"] - sum((F.col(f"p{i}") * s[f"g{i}"] for i in range(1, k)), F.col("p0") * s["g0"])
-        new = F.greatest(moved, F.lit(float(least)))
-        return F.struct(new.alias("now"), (new + s["beta"] * (new - acc["now"])).alias("ahead"))
 
-    return F.aggregate(steps, F.struct(start.alias("now"), start.alias("ahead")), step)
+def _step(residual: np.ndarray, gram: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """The gradient scaled by the curvature that the rates which are free to move have: exact while they stay free."""
+    k = len(residual)
+    root = 1 / np.sqrt(scale)
+    g = gram * np.outer(root, root)
+    return root * np.linalg.solve(g @ g + 1e-10 * np.trace(g @ g) * np.eye(k) + 1e-300 * np.eye(k), g @ (root * residual))
 
 
 def solve(members: DataFrame, k: int, weights: list[float], epochs: float | None = None, least: float = 0.0, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict]:
     """`members` (copies, tokens, p0...) with column rate >= `least` >= 0, and what was reached.
 
     Targets are `weights`, scaled to add up to `epochs` times the tokens there are; without it, to the least total for
-    which no domain has more tokens than its target, so that documents are repeated and none has to go. Squares are weighed by
-    one over the domain's tokens, and a step moves all documents of one membership alike, whatever their length. A domain with a target but without any
-    expected token can't be met and is reported in `unmet`.
+    which no domain has more tokens than its target, so that documents are repeated and none has to go. Squares are
+    weighed by one over the domain's tokens, and a step moves all documents of one membership alike, whatever their
+    length. Every step is projected onto the rates allowed; one that doesn't bring the totals nearer is shortened, and
+    at last replaced by the plain gradient. A domain with a target but without any expected token can't be met and is
+    reported in `unmet`; targets out of reach are approached as near as squares can be.
     """
     mass = F.col("copies") * F.col("tokens")
-    sums = members.agg(*[F.sum(mass * F.col(f"p{i}")).alias(f"t{i}") for i in range(k)], *[F.sum(mass * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
-    have = np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def measured(rows: DataFrame, rate: Column, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals, and the Gram matrix of the members that the last step left or moved above their bound."""
+        # generated rows are made once, however many sums use them
+        r = F.col("_r")
+        free = mass
+        if last is not None:
+            inward = sum((F.col(f"p{i}") * F.lit(float(last[i])) for i in range(1, k)), F.col("p0") * F.lit(float(last[0]))) < 0
+            free = F.when((r > least) | inward, mass).otherwise(0.0)
+        got = rows.select("copies", "tokens", *[f"p{i}" for i in range(k)], F.explode(F.array(rate)).alias("_r")).agg(*[F.sum(mass * F.col(f"p{i}") * r).alias(f"t{i}") for i in range(k)], *[F.sum(free * F.col(f"p{i}") * F.col(f"p{j}")).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        gram = np.zeros((k, k))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = got[f"m{i}_{j}"] or 0.0
+        return np.array([got[f"t{i}"] or 0.0 for i in range(k)]), gram
+
+    start = float(max(1.0, least))
+    have, whole = measured(members, F.lit(1.0))
     share = np.array(weights, float) / sum(weights)
     budget = have.sum() * (epochs or 0.0)
     if epochs is None:
         budget = float(max((h / s for h, s in zip(have, share, strict=True) if s > 0 and h > 0), default=0.0))
     target = share * budget
-    gram = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    # residuals are weighed by one over the domain's tokens, so that small domains count and steps converge alike
-    scale = np.where(have > 0, have, 1.0)
-    bound = float(np.linalg.eigvalsh(gram / np.sqrt(np.outer(scale, scale))).max()) if have.sum() else 0.0
     out = {"domains": k, "tokens": have.tolist(), "target": target.tolist(), "expected": have.tolist(), "steps": 0, "unmet": [i for i in range(k) if target[i] > 0 and have[i] == 0]}
-    start = F.lit(float(max(1.0, least)))
-    if not bound:
-        return members.withColumn("rate", start), out
-    history: list[tuple[float, np.ndarray]] = []
-    momentum, ahead = 1.0, have
-    while True:
-        # gradient of half the squared distance, in the token-weighted metric, at the point ahead
-        grad = (ahead - target) / scale / bound
-        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        history.append(((momentum - 1) / after, grad))
-        momentum = after
-        state = members.withColumn("_s", _replayed(start, least, k, history))
-        got = state.agg(*[F.sum(mass * F.col(f"p{i}") * F.col("_s.now")).alias(f"n{i}") for i in range(k)], *[F.sum(mass * F.col(f"p{i}") * F.col("_s.ahead")).alias(f"a{i}") for i in range(k)]).first()
-        now, new_ahead = np.array([got[f"n{i}"] for i in range(k)]), np.array([got[f"a{i}"] for i in range(k)])
-        if grad @ (now - ahead) > 0:  # it climbs: momentum starts anew
-            momentum = 1.0
-        still = len(history) > 1 and np.abs(now - np.array(out["expected"])).sum() <= 0.01 * tolerance * target.sum()
-        ahead = new_ahead
-        out |= {"expected": now.tolist(), "steps": len(history)}
-        if np.abs(now - target).sum() <= tolerance * target.sum() or still or len(history) >= steps:
+    if not have.sum():
+        return members.withColumn("rate", F.lit(start)), out
+    scale = np.where(have > 0, have, 1.0)
+    root = 1 / np.sqrt(scale)
+    bound = float(np.linalg.eigvalsh(whole * np.outer(root, root)).max())
+    stored, history = members.withColumn("now", F.lit(start)), []
+    now, gram, total = have * start, whole, target.sum()
+    off = lambda x: float((((x - target) * root) ** 2).sum())
+    for count in range(1, steps + 1):
+        plain = (now - target) / scale / bound
+        scaled = _step(now - target, gram, scale)
+        for y in (scaled, scaled / 4, scaled / 16, plain):
+            then, free = measured(stored, _replayed(least, k, [*history, y]), y)
+            if off(then) < off(now):
+                break
+        else:
+            break
+        gained = off(now) - off(then)
+        now, gram = then, free
+        history.append(y)
+        out |= {"expected": now.tolist(), "steps": count}
+        if np.abs(now - target).sum() <= tolerance * total or gained <= 1e-3 * off(now):
             break
-    return members.withColumn("rate", _replayed(start, least, k, history)["now"]), out
+        if len(history) == REPLAY:
+            older, stored = stored, materialise(stored.withColumn("now", _replayed(least, k, history)), "mixing-rates")
+            discard(older)
+            history = []
+    return stored.select(*members.columns, _replayed(least, k, history).alias("rate")), out
 
 
 def rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs: float | None = None, least: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
