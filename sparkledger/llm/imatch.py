@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sparkledger.llm.base import small_batches
 
@@ -119,7 +120,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", lexicon_df: DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t.as_py(), words.value) for t in b.column(at)])], [*b.schema.names, name])
 
-    return keep.mapInArrow(run, keep.schema.add(name, "string"))
+    return keep.mapInArrow(run, StructType([*keep.schema.fields, StructField(name, StringType())]))
 
 
 def _ranges(spark, ids: DataFrame, parts: int) -> list[int]:

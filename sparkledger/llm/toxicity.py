@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sparkledger.llm.base import materialise, small_batches
 
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
             z = np.bincount(found >> 32, m.weight[found & 0xFFFFFFFF], b.num_rows) + m.intercept
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(0.5 * (1 + np.tanh(z / 2)))], [*b.schema.names, name])
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, StructType(keep).add(name, DoubleType()))
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep]).mapInArrow(run, StructType([*keep, StructField(name, DoubleType())]))
 
 
 def is_toxic(score: Column, threshold: float = 0.3) -> Column:
