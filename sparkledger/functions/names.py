@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparkledger.functions.text import jaccard, trigrams, words_of
+from sparkledger.storage import ship_package
 
 # fixed values: which words name a legal form, and how words are written
 US_FORMS = ("co", "company", "corp", "corporation", "inc", "incorporated", "llc", "llp", "lp")
@@ -118,6 +119,7 @@ def word_similarity_of(a: str, b: str) -> float:
 
 def word_similarity(a: Column, b: Column) -> Column:
     """word_similarity_of() as a column."""
+    ship_package()
     run = lambda a, b: pd.Series([word_similarity_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
     return pandas_udf(run, "double")(a, b)
 
@@ -205,6 +207,7 @@ def metaphone_of(word: str, size: int = 8) -> str:
 
 def metaphone(word: Column | str) -> Column:
     """metaphone_of() as a column."""
+    ship_package()
     return pandas_udf(lambda words: words.map(metaphone_of), "string")(word)
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sparkledger.functions import names as N
 from sparkledger.functions.text import trigrams, words_of
+from sparkledger.operators.aggregates import evidence
+from sparkledger.plans.filters import like_pattern
+from sparkledger.storage import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -26,8 +29,6 @@ class Thresholds:
 
 
 ACCEPTED, REVIEW, REJECTED = "accepted", "needs_review", "rejected"
-#: Names that share an n-gram with more names than this are paired through rarer n-grams of their own.
-SMALL_GRAPH = 100_000
 
 
 def load_names(records: DataFrame, entity: str, aliases: DataFrame | None = None, retry: list[str] | None = None) -> DataFrame:
@@ -148,25 +149,19 @@ def clusters(names: DataFrame, decided: DataFrame, components: Callable[[DataFra
 def smallest_reachable(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, by rounds of label propagation and pointer jumping.
 
-    Each round is checkpointed, so the plan doesn't grow and a lost executor costs one round.
+    Each round is written to shared storage, so the plan doesn't grow and a lost executor costs one round.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkledger-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")).checkpoint()
+    both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    state = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), "roots")
     for _ in range(max_rounds):
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         step = state.join(near, "node").select("node", F.least("root", "seen").alias("root"))
         jump = step.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        after = step.join(jump, "root").select("node", F.least("root", "far").alias("root")).checkpoint()
-        changed = after.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        after = materialise(step.join(jump, "root").select("node", F.least("root", "far").alias("root")), "roots")
+        settled = after.join(state.withColumnRenamed("root", "was"), "node").where("root <> was").isEmpty()
+        discard(state)
         state = after
-        if changed:
+        if settled:
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
@@ -246,11 +241,21 @@ def brand_matches(brands: DataFrame, firms: DataFrame, parents: DataFrame, known
 
 def brand_candidates(records: DataFrame, brand: str, product: str, entity: str, shown_id: str, date: str, evidence_n: int = 5) -> DataFrame:
     """(entity, n, evidence, confidence) of records whose product mentions a brand: 0.85 for the most frequent entity if it's alone, else 0.65."""
-    from sparkledger.operators.aggregates import evidence
-    from sparkledger.plans.filters import like_pattern
-
     rows = records.where(F.col(product).ilike(like_pattern(brand)) & F.col(entity).isNotNull())
     counts = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n"))
     alone = counts.agg(F.count(F.lit(1)).alias("entities"))
     out = counts.crossJoin(F.broadcast(alone)).join(evidence(rows, [entity], [F.col(date).desc_nulls_last(), F.col(shown_id)], F.col(shown_id), evidence_n), entity)
     return out.select(entity, "n", "evidence", F.when(F.col("entities") == 1, 0.85).otherwise(0.65).alias("confidence"))
+
+
+def routed_brands(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alias rows to write, log rows): matches with a target become aliases, the rest is logged for review."""
+    hit = F.col("firm_id").isNotNull() | F.col("parent_group_id").isNotNull()
+    logged = matches.where(~hit).select(F.lit("brand").alias("entity_type"), F.col("brand").alias("input_value"), F.lit("unresolved").alias("status"), F.lit("no alias, firm or parent is similar").alias("reason"), "provenance_tier")
+    return matches.where(hit), logged
+
+
+def run_record(run_id: str, mode: str, limits: Thresholds, summary: DataFrame | None = None, error: str | None = None) -> dict:
+    """A run's audit row: running without figures, succeeded with them, failed with an error."""
+    row = {"run_id": run_id, "mode": mode, "status": "failed" if error else "succeeded" if summary is not None else "running", "error": error, **{f"{k}_threshold": getattr(limits, k) for k in ("candidate", "merge", "review", "token")}}
+    return row | (summary.drop("mode").first().asDict() if summary is not None else {})

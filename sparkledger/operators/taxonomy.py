@@ -277,3 +277,33 @@ def vector_clusters(vectors: DataFrame, key: str, vector: str, min_size: int = 2
     first = scored.withColumn("_rn", F.row_number().over(Window.partitionBy("cluster").orderBy("key"))).where("_rn <= 10").groupBy("cluster").agg(F.array_sort(F.collect_list(F.col("key").cast("string"))).alias("members"))
     sizes = scored.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("cosine"))), 4).alias("coherence")).where(F.col("size") >= min_size)
     return sizes.join(first, "cluster").orderBy(F.col("size").desc(), "cluster")
+
+
+def labelled_nodes(labels: DataFrame, taxonomy: DataFrame, version: str = "v1") -> DataFrame:
+    """Nodes that any record is labelled with."""
+    return taxonomy.where(F.col("version") == version).join(labels.where(F.col("version") == version).select("node_id"), "node_id", "left_semi")
+
+
+def drafted(prefixes: DataFrame, themes: list[tuple[str, str]], version: str = "draft", other: str = "other") -> DataFrame:
+    """A tree drafted from mined prefixes: each under the first theme (root, pattern) that it satisfies, else under `other`."""
+    root = F.when(F.lit(False), F.lit(""))
+    for node, pattern in themes:
+        root = root.when(F.col("prefix").rlike(pattern), F.lit(node))
+    child = prefixes.select(slugify(F.col("prefix")).alias("node_id"), root.otherwise(F.lit(other)).alias("parent_id"), F.initcap("prefix").alias("label"), F.lit(1).alias("level")).where("node_id <> ''")
+    child = child.groupBy("node_id").agg(F.min("parent_id").alias("parent_id"), F.min("label").alias("label"), F.min("level").alias("level"))
+    roots = child.select(F.col("parent_id").alias("node_id")).distinct().select("node_id", F.lit(None).cast("string").alias("parent_id"), F.initcap(F.regexp_replace("node_id", "_", " ")).alias("label"), F.lit(0).alias("level"))
+    return roots.unionByName(child).select(F.lit(version).alias("version"), "node_id", "parent_id", "label", "level", F.lit("draft").alias("status"))
+
+
+def match_terms(texts: DataFrame, text: str, key: str, terms: list[tuple[str, str]]) -> DataFrame:
+    """(key, node_id): the node of the first term, in the order given, that a text holds; texts without any are left out."""
+    norm, node = normalize_text(F.col(text)), F.when(F.lit(False), F.lit(""))
+    for term, node_id in terms:
+        node = node.when(norm.contains(term.lower()), F.lit(node_id))
+    return texts.select(key, node.alias("node_id")).where("node_id IS NOT NULL")
+
+
+def ordered_terms(taxonomy: DataFrame, version: str = "v1") -> list[tuple[str, str]]:
+    """(term, node_id) of a tree (its size is a driver's): children before roots, long terms before short ones."""
+    rows = taxonomy.where(F.col("version") == version).select("node_id", "label", "level").collect()
+    return [(r.label, r.node_id) for r in sorted(rows, key=lambda r: (-r.level, -len(r.label), r.label))]

@@ -19,6 +19,8 @@ from sparkledger.plans import catalog as C
 from sparkledger.plans import filters, routers, spec
 from sparkledger.plans.filters import Filter
 from sparkledger.sources import ingest
+from sparkledger.storage import shared_path
+from sparkledger.streaming import updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -342,6 +344,24 @@ def prefix_clusters(s: SparkSession, d: str) -> DataFrame:
     return T.prefix_clusters(_products(s, d), "text", "w")
 
 
+@query(with_sql("lt", "SELECT node_id, label FROM t WHERE EXISTS (SELECT 1 FROM l WHERE l.node_id = t.node_id)"))
+def labelled_nodes(s: SparkSession, d: str) -> DataFrame:
+    return T.labelled_nodes(B.labels(s, d), B.taxonomy(s)).select("node_id", "label")
+
+
+@query("""WITH c AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS node_id FROM part), x AS (SELECT node_id, CASE WHEN regexp_matches(node_id, '^(red|blue|green)$') THEN 'colour' WHEN regexp_matches(node_id, '^(hot|cold)$') THEN 'warmth' ELSE 'other' END AS parent_id FROM c)
+    SELECT node_id, parent_id, 1 AS level FROM x UNION ALL SELECT DISTINCT parent_id, NULL, 0 FROM x""")
+def taxonomy_draft(s: SparkSession, d: str) -> DataFrame:
+    themes = [("colour", "^(red|blue|green)$"), ("warmth", "^(hot|cold)$")]
+    return T.drafted(T.mine_prefixes(_products(s, d), "text", "w"), themes).select("node_id", "parent_id", "level")
+
+
+@query("SELECT node_id, count(*) AS n FROM (SELECT CASE WHEN contains(lower(p_name), 'blue widget') THEN 'bw' WHEN contains(lower(p_name), 'widget') THEN 'w' WHEN contains(lower(p_name), 'cold') THEN 'c' END AS node_id FROM part) WHERE node_id IS NOT NULL GROUP BY 1")
+def draft_match(s: SparkSession, d: str) -> DataFrame:
+    terms = [("Blue widget", "bw"), ("widget", "w"), ("cold", "c")]
+    return T.match_terms(B.table(s, d, "part"), "p_name", "p_partkey", terms).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def kmeans_clusters(s: SparkSession, d: str) -> DataFrame:
     return T.vector_clusters(B.table(s, d, "embeddings"), "vec_id", "embedding").withColumn("members", F.array_join("members", ","))
@@ -396,6 +416,17 @@ def distinct_on_best(s: SparkSession, d: str) -> DataFrame:
     return ingest.newest_per_key(rows, "l_orderkey", [F.col("l_quantity").desc(), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")]).select("l_orderkey", "l_partkey", "l_quantity")
 
 
+@query("SELECT CAST(ts AS DATE) AS period, event_type, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1 GROUP BY ALL")
+def stream_upsert_trend(s: SparkSession, d: str) -> DataFrame:
+    """Events as a stream that is merged into one row a user, and a trend of what is left."""
+    columns = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    stream = s.readStream.schema(columns).parquet(f"{d}/events.parquet*").select(F.col("user_id").alias("id"), "event_type", F.struct("ts", "event_id").alias("fetched_at"))
+    path = shared_path(s, "stream")
+    updates.upsert_stream(stream, f"{path}/table", f"{path}/log").awaitTermination()
+    rows = updates.current(s, f"{path}/table").withColumn("ts", F.col("fetched_at.ts"))
+    return updates.windowed_counts(rows, "ts", "event_type")
+
+
 # -- retrieval ---------------------------------------------------------------------------------------------------------
 
 WORDS = ["with", "idiot"]
@@ -634,6 +665,21 @@ def brand_candidates(s: SparkSession, d: str) -> DataFrame:
     return joined(entities.brand_candidates(rows, "mach", "segment", "recalling_firm", "recall_number", "recall_initiation_date").withColumn("confidence", F.col("confidence").cast("double")))
 
 
+@query()
+def brand_matches(s: SparkSession, d: str) -> DataFrame:
+    names = B.table(s, d, "part").select(F.concat("p_name", F.lit("s")).alias("brand")).distinct()
+    table = lambda where: B.table(s, d, "part").where(where).select("p_name").distinct().select(F.xxhash64("p_name").alias("id"), F.col("p_name").alias("normalized_name"))
+    known = names.where("brand LIKE 'red%'").select(F.col("brand").alias("normalized_brand_name"), F.lit(7).cast("long").alias("firm_id"), F.lit(None).cast("long").alias("parent_group_id"), F.lit("fda_fact").alias("provenance_tier"), F.lit(1.0).alias("confidence"))
+    return entities.brand_matches(names, table("p_name LIKE 'cold%'"), table("p_name LIKE 'hot%'"), known, 0.7)
+
+
+@query(with_sql("afe", """, u AS (SELECT f.id AS firm_id, f.canonical_name AS firm_name, CAST(sum(a.record_count) AS BIGINT) AS records FROM a JOIN f ON f.id = a.firm_id
+    WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.firm_id = f.id AND e.active AND e.review_status = 'confirmed') GROUP BY ALL ORDER BY records DESC, firm_name LIMIT 20)
+    SELECT firm_id, 'unknown' AS provenance_tier, 'unknown' AS source, DATE '2002-01-01' AS as_of_date, 'confirmed' AS review_status, true AS active, CAST(0 AS DECIMAL(5,4)) AS confidence FROM u"""))
+def unknown_placeholders(s: SparkSession, d: str) -> DataFrame:
+    return parents.placeholders(parents.unmapped_firms(B.aliases(s, d), B.firms(s, d), B.edges(s, d)), F.lit("2002-01-01")).drop("parent_group_id")
+
+
 @query(with_sql("e", """, n AS (SELECT firm_id, (parent_group_id + firm_id % 2) % 5 AS parent_group_id, 'external' AS provenance_tier, 'external' AS source, source_id, CASE WHEN firm_id % 2 = 0 THEN as_of_date ELSE DATE '2002-01-01' END AS as_of_date FROM e WHERE firm_id % 10 IN (0, 1, 6)),
     x AS (SELECT e.firm_id, e.parent_group_id, e.provenance_tier, e.source, e.source_id, e.as_of_date, CASE WHEN n.firm_id IS NULL THEN e.review_status WHEN n.parent_group_id = e.parent_group_id AND n.as_of_date = e.as_of_date THEN 'confirmed' WHEN e.review_status = 'confirmed' THEN 'superseded' ELSE e.review_status END AS review_status,
         CASE WHEN n.firm_id IS NULL THEN e.active WHEN n.parent_group_id = e.parent_group_id AND n.as_of_date = e.as_of_date THEN true WHEN e.review_status = 'confirmed' THEN false ELSE e.active END AS active,

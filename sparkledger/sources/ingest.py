@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from sparkledger.functions.text import compact_date, content_hash, ingest_date, record_id
 
@@ -177,7 +177,7 @@ def embed_pending(todo: DataFrame, embed: Callable[[list[str]], list[list[float]
                 part["embedding"] = embed(part["content"].tolist())
                 yield part
 
-    return todo.mapInPandas(run, todo.schema.add("embedding", "array<float>"))
+    return todo.mapInPandas(run, StructType([*todo.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
