@@ -1,85 +1,25 @@
-"""What the operators of this subpackage share: shared storage, bounded Arrow batches and connected components."""
+"""What the operators of this subpackage share: bounded Arrow batches, checked broadcasts and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import io
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkledger.storage import discard, materialise, shared_path, ship_package
+
+__all__ = ["broadcast_if_small", "connected_components", "crc_bucket", "discard", "materialise", "shared_path", "small_batches"]
+
 #: Rows of an Arrow batch between the JVM and Python; texts may be long, so far fewer than Spark's default.
 BATCH_ROWS = 1000
 #: A side of a join is broadcast only after its size was counted and is no more than this.
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local session (tests) may leave it unset; it then gets a temporary folder for the life of the process.
-    """
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="sparkledger-")
-        atexit.register(shutil.rmtree, place, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below shared_dir() that nothing has used before."""
-    return f"{shared_dir(spark)}/sparkledger/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df, written to shared storage and read back: lineage ends there, and a lost executor costs a re-read."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialise() wrote for df; only once nothing lazy reads it any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df (materialised) with a broadcast hint if its counted rows take at most `limit` bytes, else for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once a Spark context, so that it need not be installed there."""
-    context = spark.sparkContext
-    if getattr(context, "_sparkledger_shipped", False):
-        return
-    top, packed = Path(__file__).resolve().parents[1], io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    path = f"{shared_path(spark, 'code')}/sparkledger.zip"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(packed.getvalue()))
-    out.close()
-    context.addPyFile(path)
-    context._sparkledger_shipped = True
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session to `rows`, so that long texts don't fill a worker's memory.
 
