@@ -113,7 +113,8 @@ def solve(members: DataFrame, k: int, weights: list[float], epochs: float | None
     weighed by one over the domain's tokens, and a step moves all documents of one membership alike, whatever their
     length. Every step is projected onto the rates allowed; one that doesn't bring the totals nearer is shortened, and
     at last replaced by the plain gradient. A domain with a target but without any expected token can't be met and is
-    reported in `unmet`; targets out of reach are approached as near as squares can be.
+    reported in `unmet`; targets out of reach are approached until a step
+    lessens the squares by less than a thousandth.
     """
     mass = F.col("copies") * F.col("tokens")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
