@@ -362,6 +362,21 @@ def draft_match(s: SparkSession, d: str) -> DataFrame:
     return T.match_terms(B.table(s, d, "part"), "p_name", "p_partkey", terms).groupBy("node_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH x AS (SELECT split_part(p_name, ' ', 1) AS prefix, sha256(lower(split_part(p_name, ' ', 1) || ': ' || p_name || ' ' || p_brand)) AS h, p_size FROM part)
+    SELECT prefix AS candidate_node_id, upper(substr(prefix, 1, 1)) || substr(prefix, 2) AS proposed_label, CAST(sum(p_size) AS BIGINT) AS size, substr(sha256('prefix:' || array_to_string(list_slice(array_agg(h ORDER BY h), 1, 50), '|')), 1, 16) AS cluster_key
+    FROM x WHERE prefix NOT IN ('small', 'medium', 'large', 'economy', 'standard', 'promo') GROUP BY prefix HAVING count(*) >= 10 ORDER BY size DESC, prefix LIMIT 20""")
+def taxonomy_candidates(s: SparkSession, d: str) -> DataFrame:
+    found = T.candidate_nodes(T.prefix_clusters(_products(s, d), "text", "w"), B.taxonomy(s))
+    return found.select("candidate_node_id", "proposed_label", "size", "cluster_key")
+
+
+@query(with_sql("l", "SELECT node_id, labeler, count(*) AS n FROM (SELECT node_id, CASE WHEN record_id % 2 = 0 THEN 'other' ELSE 'rules' END AS labeler FROM l WHERE record_id % 2 = 0 UNION ALL SELECT 'promo', 'rules' FROM orders WHERE o_orderkey < 100) GROUP BY ALL"))
+def labels_replaced(s: SparkSession, d: str) -> DataFrame:
+    old = B.labels(s, d).withColumn("labeler", F.when(F.col("record_id") % 2 == 0, "other").otherwise("rules"))
+    new = B.table(s, d, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("record_id"), F.lit("v1").alias("version"), F.lit("promo").alias("node_id"), F.lit("rules").alias("labeler"))
+    return T.replaced(old, new, "rules").groupBy("node_id", "labeler").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def kmeans_clusters(s: SparkSession, d: str) -> DataFrame:
     return T.vector_clusters(B.table(s, d, "embeddings"), "vec_id", "embedding").withColumn("members", F.array_join("members", ","))
@@ -376,6 +391,14 @@ def json_projection(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), text.record_id(F.lit(None).cast("string"), F.col("props")).alias("id"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(ts AS DATE) END AS compact, CASE WHEN event_id % 4 < 2 THEN CAST(ts AS DATE) END AS lenient FROM events WHERE event_id < 1000""")
+def date_parsers(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 4
+    written = F.when(k == 0, F.date_format("ts", "yyyyMMdd")).when(k == 1, F.date_format("ts", "yyyy-MM-dd'T'HH")).when(k == 2, F.lit("20230230")).otherwise(F.lit("soon"))
+    rows = B.table(s, d, "events").where("event_id < 1000").withColumn("t", written)
+    return rows.select("event_id", text.compact_date(F.col("t")).alias("compact"), text.ingest_date(F.col("t")).alias("lenient"))
+
+
 @query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS top FROM events GROUP BY 1")
 def json_typed_agg(s: SparkSession, d: str) -> DataFrame:
     e = B.table(s, d, "events").withColumn("r", F.from_json("props", "k long"))
@@ -559,6 +582,17 @@ def semantic_estimate(s: SparkSession, d: str) -> DataFrame:
     return semantic.estimate(judged, n).select("verified_count", "validated_count", "candidate_count", "rejected_count", "estimated_count")
 
 
+@query(f"""WITH {JUDGED}, w AS (SELECT CAST(round_even(count(*) FILTER (WHERE ok) / count(*) * (SELECT n FROM k), 0) AS BIGINT) AS total FROM j), g AS (SELECT source, count(*) AS pool_count FROM p GROUP BY 1),
+    x AS (SELECT *, CAST(pool_count AS DOUBLE) / (SELECT n FROM k) * (SELECT total FROM w) AS raw FROM g), y AS (SELECT *, floor(raw) AS fl FROM x), z AS (SELECT *, row_number() OVER (ORDER BY raw - fl DESC, source) AS place, (SELECT total FROM w) - sum(fl) OVER () AS rest FROM y)
+    SELECT source, pool_count, CAST(fl + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS allocated, coalesce((SELECT array_to_string(list_slice(array_agg(CAST(doc_id AS VARCHAR) ORDER BY rk), 1, 3), ',') FROM j WHERE ok AND j.source = z.source), '') AS evidence FROM z""")
+def semantic_groups(s: SparkSession, d: str) -> DataFrame:
+    pool = _pool(s, d)
+    judged, n = semantic.validated(pool.drop("source"), _judge(s, d))
+    total = semantic.estimate(judged, n).first().estimated_count
+    values = pool.select("source_id", "source")
+    return joined(semantic.grouped_estimate(pool.drop("source"), judged, values, "source", total).withColumn("evidence", F.transform("evidence", lambda x: x.cast("string"))))
+
+
 @query("""WITH x AS (SELECT CAST(event_id % 50 AS DOUBLE) AS s, 50.0::DOUBLE AS n, CAST(100 + event_id AS DOUBLE) AS big, event_id FROM events WHERE event_id < 500),
     y AS (SELECT *, s / n AS p, 1 + 3.8416 / n AS den FROM x), z AS (SELECT *, (p + 3.8416 / (2 * n)) / den AS c, 1.96 * sqrt((p * (1 - p) + 3.8416 / (4 * n)) / n) / den AS m FROM y)
     SELECT event_id, CAST(greatest(0, round_even((c - m) * big, 0)) AS BIGINT) AS lower, CAST(least(big, round_even((c + m) * big, 0)) AS BIGINT) AS upper FROM z""")
@@ -733,6 +767,24 @@ def baseline_compare(s: SparkSession, d: str) -> DataFrame:
     return evaluation.compare_runs(_run(s, d, 0), _run(s, d, 1))
 
 
+@query("""WITH x AS (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'skip' ELSE 'pass' END AS st, CASE WHEN event_id % 3 = 0 THEN ['core', 'rag'] ELSE ['rag'] END AS suites FROM events WHERE event_id < 300),
+    y AS (SELECT st, unnest(list_append(suites, 'all')) AS suite FROM x), z AS (SELECT suite, count(*) FILTER (WHERE st = 'pass') AS passed, count(*) FILTER (WHERE st = 'fail') AS failed, count(*) FILTER (WHERE st = 'skip') AS skipped FROM y GROUP BY 1)
+    SELECT *, passed / (passed + failed) AS pass_rate FROM z""")
+def report_roll_up(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.roll_up(_results(s, d))
+
+
+def _results(s: SparkSession, d: str) -> DataFrame:
+    e, k = B.table(s, d, "events").where("event_id < 300"), F.col("event_id")
+    suites = F.when(k % 3 == 0, F.array(F.lit("core"), F.lit("rag"))).otherwise(F.array(F.lit("rag")))
+    return e.select(k.cast("string").alias("case_id"), F.when(k % 4 == 0, "fail").when(k % 4 == 1, "skip").otherwise("pass").alias("status"), suites.alias("suites"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS case_id, CASE event_id % 4 WHEN 0 THEN 'failed' ELSE 'skipped' END AS problem FROM events WHERE event_id < 300 AND event_id % 3 = 0 AND event_id % 4 IN (0, 1) AND event_id NOT IN (9, 21)")
+def core_gate(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.gate(_results(s, d), ["9", "21"])
+
+
 # -- specifications ----------------------------------------------------------------------------------------------------
 
 
