@@ -37,7 +37,7 @@ def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), offsets=False)
     revisit = F.col("type") == "revisit"
     stated = F.regexp_extract("http_head", r"(?im)^Content-Length: ([0-9]+)", 1).cast("long")
     return found.select(

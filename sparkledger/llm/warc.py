@@ -83,9 +83,12 @@ def _header(name: str) -> Column:
     return F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
 
-def records(spark: SparkSession, path: str, prove: bool = True) -> DataFrame:
+def records(spark: SparkSession, path: str, prove: bool = True, offsets: bool = True) -> DataFrame:
     """The records of the archives under `path` (a folder or file of uncompressed WARC).
 
+    Without `offsets` that column is null, and records need not be joined with their places: only the few candidates
+    that are none, or are cut apart, are looked up.
+
     (file, offset, type, record_id, target, digest, refers_to, http_head, payload binary, intact boolean): the payload
     is what follows the HTTP head; intact says whether a response's payload has the digest that its header states.
     An archive without records gives no rows; what can't be reached from the start of its file is no record.
@@ -106,7 +109,7 @@ def records(spark: SparkSession, path: str, prove: bool = True) -> DataFrame:
     spots = at.select("file", "start", "seg", "seg_bytes", (F.col("begin") + F.col("ahead") - magic).alias("offset"), "length")
     spots = materialise(spots.withColumn("next", F.col("offset") + F.col("length")), "warc-offsets")
     real = _reachable(spots) if prove else spots.where("offset >= 0").select("file", "offset")
-    return _assemble(segs, spots, real)
+    return _assemble(segs, spots, real, offsets)
 
 
 def _reachable(spots: DataFrame) -> DataFrame:
@@ -129,13 +132,18 @@ def _reachable(spots: DataFrame) -> DataFrame:
         jump, reach, n = longer, more, m
 
 
-def _assemble(segs: DataFrame, spots: DataFrame, real: DataFrame) -> DataFrame:
+def _assemble(segs: DataFrame, spots: DataFrame, real: DataFrame, offsets: bool) -> DataFrame:
     """Records from their segments; only those that a magic in their payload cut apart are shuffled with their bytes."""
-    marked = spots.join(real.withColumn("is_record", F.lit(True)), ["file", "offset"], "left")
-    alone = materialise(marked.where("is_record AND next - offset <= seg_bytes + 10").select("file", "start", "seg", "offset", "next"), "warc-alone")
-    whole = segs.join(broadcast_if_small(alone.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("seg").alias("g"), "offset"), 120), (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")) & (F.col("seg") == F.col("g")))
+    marked = materialise(spots.join(real.withColumn("is_record", F.lit(True)), ["file", "offset"], "left"), "warc-marked")
+    fits = F.coalesce(F.col("is_record") & (F.col("next") - F.col("offset") <= F.col("seg_bytes") + len(MAGIC)), F.lit(False))
+    place = lambda rows, *more: materialise(rows.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("seg").alias("g"), *more), "warc-places")
+    same = (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")) & (F.col("seg") == F.col("g"))
+    if offsets:
+        whole = segs.join(broadcast_if_small(place(marked.where(fits), "offset"), 120), same)
+    else:
+        whole = segs.join(broadcast_if_small(place(marked.where(~fits)), 120), same, "left_anti").withColumn("offset", F.lit(None).cast("long"))
     whole = whole.select("file", "offset", F.col("value").cast("binary").alias("value"))
-    cut = marked.where("is_record AND next - offset > seg_bytes + 10")
+    cut = marked.where(F.col("is_record") & ~fits)
     if cut.isEmpty():
         return _parsed(whole)
     cut = materialise(cut.select("file", "offset", "next"), "warc-cut")
@@ -162,8 +170,8 @@ def _parsed(found: DataFrame) -> DataFrame:
     )
 
 
-def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, offsets: bool = True) -> DataFrame:
     """Writes the pages to archives on shared storage and returns records() of them."""
     path = shared_path(pages.sparkSession, "warc")
     write(pages, path, id_col, url_col, payload_col, min_bytes)
-    return records(pages.sparkSession, path)
+    return records(pages.sparkSession, path, offsets=offsets)
