@@ -211,7 +211,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = materialise(connected_components(links(fps, distance, run_limit)), "simhash-roots")
     smallest = fps.join(roots, fps.fp == roots.node).groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(smallest, "root").select(F.col("node").alias("fp"), "component")
-    known = fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # on storage, so that the next join has an exchange of its own on either side, which adaptive execution can split
+    known = materialise(fps.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-known")
     return rows.join(known, "fp").select(id_col, "fp", "component_id")
 
 
