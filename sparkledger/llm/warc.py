@@ -17,6 +17,8 @@ from sparkledger.llm.base import broadcast_if_small, discard, materialise, share
 MAGIC, EOL, CLOSE = "WARC/1.1\r\n", "\r\n", "\r\n\r\n"
 #: Profile of a revisit record (fixed value of the format).
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Rows of the narrow tables of offsets that go into one file.
+ROWS = 500_000
 #: The digits of base32, and those that conv() uses.
 _BASE32, _HEX32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
@@ -70,12 +72,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, start, seg, seg_bytes, value): what lies between one magic and the next, in every task's byte range.
+    """(file, fid, start, seg, seg_bytes, value): what lies between one magic and the next, in every task's byte range.
 
-    `start` is where the range begins in the file and `seg` orders the segments within it.
+    `start` is where the range begins in the file and `seg` orders the segments within it. `fid`, a hash of the file's
+    path, stands for it in the tables of offsets, which would otherwise repeat long paths.
     """
     rows = spark.read.option("lineSep", MAGIC).text(path)
-    meta = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seg"))
+    path_of = F.col("_metadata.file_path")
+    meta = rows.select("value", path_of.alias("file"), F.xxhash64(path_of).alias("fid"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seg"))
     return meta.withColumn("seg_bytes", F.octet_length("value").cast("long"))
 
 
@@ -99,57 +103,61 @@ def records(spark: SparkSession, path: str, prove: bool = True, offsets: bool =
     parsed = segs.withColumn("head", F.substring_index("value", CLOSE, 1)).withColumn("size", _header("Content-Length"))
     ends = F.col("size").rlike("^[0-9]{1,15}$") & (F.octet_length("head") < F.col("seg_bytes"))
     length = F.octet_length("head") + 4 + F.when(ends, F.col("size").cast("long")).otherwise(F.lit(None)) + 4
-    small = materialise(parsed.select("file", "start", "seg", "seg_bytes", (length + magic).alias("length")), "warc-candidates")
-    ranges = small.groupBy("file", "start").agg(F.sum(F.col("seg_bytes") + magic).alias("bytes"), F.min("seg").alias("first"))
-    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.withColumn("begin", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select("file", "start", "begin")
-    within = Window.partitionBy("file", "start").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    at = small.withColumn("ahead", F.coalesce(F.sum(F.col("seg_bytes") + magic).over(within), F.lit(0))).join(ranges, ["file", "start"])
+    small = materialise(parsed.select("fid", "start", "seg", "seg_bytes", (length + magic).alias("length")), "warc-candidates")
+    ranges = small.groupBy("fid", "start").agg(F.sum(F.col("seg_bytes") + magic).alias("bytes"), F.min("seg").alias("first"))
+    before = Window.partitionBy("fid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("begin", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select("fid", "start", "begin")
+    within = Window.partitionBy("fid", "start").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    at = small.withColumn("ahead", F.coalesce(F.sum(F.col("seg_bytes") + magic).over(within), F.lit(0))).join(ranges, ["fid", "start"])
     # a segment follows its magic, so the candidate begins that much earlier; the first of a file follows none
-    spots = at.select("file", "start", "seg", "seg_bytes", (F.col("begin") + F.col("ahead") - magic).alias("offset"), "length")
-    spots = materialise(spots.withColumn("next", F.col("offset") + F.col("length")), "warc-offsets")
-    real = _reachable(spots) if prove else spots.where("offset >= 0").select("file", "offset")
-    return _assemble(segs, spots, real, offsets)
+    spots = at.select("fid", "start", "seg", "seg_bytes", (F.col("begin") + F.col("ahead") - magic).alias("offset"), "length")
+    files = 1 + small.count() // ROWS
+    spots = materialise(spots.withColumn("next", F.col("offset") + F.col("length")).coalesce(files), "warc-offsets")
+    real = _reachable(spots, files) if prove else spots.where("offset >= 0").select("fid", "offset")
+    return _assemble(segs, spots, real, offsets, files)
 
 
-def _reachable(spots: DataFrame) -> DataFrame:
-    """(file, offset) of the candidates on the chain from offset 0 of each file, by pointer jumping."""
-    nodes = spots.where("offset >= 0").select("file", "offset", "next")
-    ok = nodes.select("file", F.col("offset").alias("next"))
+def _reachable(spots: DataFrame, files: int) -> DataFrame:
+    """(fid, offset) of the candidates on the chain from offset 0 of each file, by pointer jumping.
+
+    The narrow tables of each round are written as `files` files, so that many small ones don't cost more than the rows.
+    """
+    nodes = spots.where("offset >= 0").select("fid", "offset", "next")
+    ok = nodes.select("fid", F.col("offset").alias("next"))
     # a candidate whose successor isn't one leads nowhere (the last record's successor is the end of its file)
-    jump = materialise(nodes.join(ok, ["file", "next"], "left_semi").select("file", "offset", "next"), "warc-jumps")
-    reach = materialise(nodes.where("offset = 0").select("file", "offset"), "warc-reach")
+    jump = materialise(nodes.join(ok, ["fid", "next"], "left_semi").select("fid", "offset", "next").coalesce(files), "warc-jumps")
+    reach = materialise(nodes.where("offset = 0").select("fid", "offset").coalesce(files), "warc-reach")
     n = reach.count()
     while True:
-        step = reach.join(jump, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        more = materialise(reach.union(step).distinct(), "warc-reach")
+        step = reach.join(jump, ["fid", "offset"]).select("fid", F.col("next").alias("offset"))
+        more = materialise(reach.union(step).distinct().coalesce(files), "warc-reach")
         if (m := more.count()) == n:
             return more
-        far = jump.join(jump.select("file", F.col("offset").alias("next"), F.col("next").alias("far")), ["file", "next"]).select("file", "offset", F.col("far").alias("next"))
-        longer = materialise(far, "warc-jumps")
+        far = jump.join(jump.select("fid", F.col("offset").alias("next"), F.col("next").alias("far")), ["fid", "next"]).select("fid", "offset", F.col("far").alias("next"))
+        longer = materialise(far.coalesce(files), "warc-jumps")
         discard(jump)
         discard(reach)
         jump, reach, n = longer, more, m
 
 
-def _assemble(segs: DataFrame, spots: DataFrame, real: DataFrame, offsets: bool) -> DataFrame:
+def _assemble(segs: DataFrame, spots: DataFrame, real: DataFrame, offsets: bool, files: int) -> DataFrame:
     """Records from their segments; only those that a magic in their payload cut apart are shuffled with their bytes."""
-    marked = materialise(spots.join(real.withColumn("is_record", F.lit(True)), ["file", "offset"], "left"), "warc-marked")
+    marked = materialise(spots.join(real.withColumn("is_record", F.lit(True)), ["fid", "offset"], "left").coalesce(files), "warc-marked")
     fits = F.coalesce(F.col("is_record") & (F.col("next") - F.col("offset") <= F.col("seg_bytes") + len(MAGIC)), F.lit(False))
-    place = lambda rows, *more: materialise(rows.select(F.col("file").alias("f"), F.col("start").alias("s"), F.col("seg").alias("g"), *more), "warc-places")
-    same = (F.col("file") == F.col("f")) & (F.col("start") == F.col("s")) & (F.col("seg") == F.col("g"))
+    place = lambda rows, *more: materialise(rows.select(F.col("fid").alias("f"), F.col("start").alias("s"), F.col("seg").alias("g"), *more), "warc-places")
+    same = (F.col("fid") == F.col("f")) & (F.col("start") == F.col("s")) & (F.col("seg") == F.col("g"))
     if offsets:
-        whole = segs.join(broadcast_if_small(place(marked.where(fits), "offset"), 120), same)
+        whole = segs.join(broadcast_if_small(place(marked.where(fits), "offset"), 24), same)
     else:
-        whole = segs.join(broadcast_if_small(place(marked.where(~fits)), 120), same, "left_anti").withColumn("offset", F.lit(None).cast("long"))
+        whole = segs.join(broadcast_if_small(place(marked.where(~fits)), 24), same, "left_anti").withColumn("offset", F.lit(None).cast("long"))
     whole = whole.select("file", "offset", F.col("value").cast("binary").alias("value"))
     cut = marked.where(F.col("is_record") & ~fits)
     if cut.isEmpty():
         return _parsed(whole)
-    cut = materialise(cut.select("file", "offset", "next"), "warc-cut")
-    parts = spots.where("offset >= 0").select("file", "start", "seg", F.col("offset").alias("part")).join(cut, "file").where("part >= offset AND part < next")
-    texts = segs.join(F.broadcast(parts) if parts.count() < 100_000 else parts, ["file", "start", "seg"]).select("file", "offset", "part", F.col("value").cast("binary").alias("value"))
-    joined = texts.groupBy("file", "offset").agg(F.array_sort(F.collect_list(F.struct("part", F.base64("value").alias("v")))).alias("parts"))
+    cut = materialise(cut.select("fid", "offset", "next"), "warc-cut")
+    parts = spots.where("offset >= 0").select("fid", "start", "seg", F.col("offset").alias("part")).join(cut, "fid").where("part >= offset AND part < next")
+    texts = segs.join(broadcast_if_small(materialise(parts, "warc-parts"), 40), ["fid", "start", "seg"]).select("file", "fid", "offset", "part", F.col("value").cast("binary").alias("value"))
+    joined = texts.groupBy("fid", "offset").agg(F.first("file").alias("file"), F.array_sort(F.collect_list(F.struct("part", F.base64("value").alias("v")))).alias("parts"))
     text = F.aggregate("parts", F.lit(None).cast("binary"), lambda acc, p: F.when(acc.isNull(), F.unbase64(p["v"])).otherwise(F.concat(acc, F.lit(MAGIC.encode()), F.unbase64(p["v"]))))
     return _parsed(whole.union(joined.select("file", "offset", text.alias("value"))))
 
