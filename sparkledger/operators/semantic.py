@@ -70,7 +70,8 @@ def validated(hits: DataFrame, judge: Callable[[DataFrame], DataFrame], mode: st
     """
     limits = limits.clamped()
     pool = eligible(hits.where(F.col("rank") <= limits.pool), mode, limits)
-    ranked = pool.withColumn("place", F.row_number().over(Window.orderBy("rank")))
+    # a few hundred rows at most, read by the count, the judge, the contract and the estimate
+    ranked = pool.withColumn("place", F.row_number().over(Window.orderBy("rank"))).cache()
     n = ranked.count()
     sampled = stratified(ranked, "place", n, limits.validated)
     judged = judge(sampled)
