@@ -14,7 +14,7 @@ written under itself and its one- and two-bit neighbours, and consecutive member
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -217,14 +217,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs` without near-duplicates, all columns kept: of each component one row stays.
+    """The rows of `docs` without near-duplicates, all columns kept: of each component one row stays (see first_of_each())."""
+    return first_of_each(docs, lambda rows: components(rows, "_key", text_col, words, distance), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, one of each component that `grouped` finds for rows (_key, text_col).
 
     It is the row with the smallest id (null ids last), of several with that id the one with the smallest text hash,
     and of rows equal in both any one. The rows that go are joined by (id, text hash), broadcast only when few.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tag = F.xxhash64(text, F.length(text))
-    found = components(docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), tag.alias("tag")).alias("_key"), F.col(text_col)), "_key", text_col, words, distance)
+    found = grouped(docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), tag.alias("tag")).alias("_key"), F.col(text_col)))
     rows = materialise(found.groupBy("_key", "component_id").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
     marked = docs.withColumn("_id", F.col(id_col)).withColumn("_tag", tag)
     key = lambda d: d.select(F.col("_key.id").alias("_i"), F.col("_key.tag").alias("_t"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from sparkledger.llm import brown, hilbert, imatch, lengths, mixing, packing, simhash, topk, toxicity, warc  # noqa: E402
+from sparkledger.llm import brown, hilbert, imatch, lengths, mixing, packing, similar, simhash, topk, toxicity, warc  # noqa: E402
 from sparkledger.llm.base import connected_components, crc_bucket  # noqa: E402
 from sparkledger.llm.tokens import encoder  # noqa: E402
 
@@ -196,6 +196,53 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_similar(texts, least=0.8):
+    """Pairs of places whose sets of five-word runs reach the similarity."""
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in (brown.words(t) for t in texts)]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s or [None]:
+            holders[g].append(i)
+    met = {p for h in holders.values() for p in itertools.combinations(h, 2)}
+    return [(a, b) for a, b in met if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least]
+
+
+def test_similar(spark, docs, empty):
+    """Near copies between similarity 0.7 and 1, a large group of them included, against all pairs."""
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (120, 300, 700, 150)]
+    rows = list(TEXTS)
+    for k, copies, changed in ((0, 40, 2), (1, 40, 6), (2, 40, 16), (3, 250, 1)):
+        for _ in range(copies):
+            t = list(base[k])
+            for at in rng.choice(len(t), changed, replace=False):
+                t[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((100 + len(rows), " ".join(t)))
+    near = plain_similar([t for _, t in rows])
+    comp = plain_components(near, range(len(rows)))
+    bits = [plain_simhash(t) for _, t in rows]
+    assert sum((bits[a] ^ bits[b]).bit_count() > 4 for a, b in near) > 100  # what four bits alone would miss
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[comp[k]] = min(i, least.get(comp[k], i))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter((r.doc_id, r.component_id) for r in similar.components(df).collect()) == Counter((i, least.get(comp[k])) for k, (i, _) in enumerate(rows))
+    kept = similar.one_per_component(df).collect()
+    assert len(kept) == len(set(comp.values())) and sorted(r.doc_id for r in kept if r.doc_id) == sorted(least.values())
+    assert similar.one_per_component(empty).count() == 0 and similar.one_per_component(docs).columns == docs.columns
+
+
+def test_pipeline_near_duplicates(spark):
+    """The stage leaves one document of each component of five-word similarity 0.8 or more."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    comp = plain_components([tuple(sorted((rows[a].doc_id, rows[b].doc_id))) for a, b in plain_similar([r.text for r in rows])], [r.doc_id for r in rows])
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(comp.values()))
+
+
 # -- WARC ----------------------------------------------------------------------------------------------------------------
 
 
