@@ -192,7 +192,17 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], epochs:
     A row comes floor(rate) times, and once more if a hash of its id and text lies below the rate's fraction, so the
     same rows come out on every run. With `least` = 1 no row goes.
     """
-    found, _ = rates(docs, labelled, weights, epochs, least, id_col, text_col)
+    return repeated(docs, rates(docs, labelled, weights, epochs, least, id_col, text_col)[0], id_col, text_col)
+
+
+def shares(report: dict) -> dict[str, tuple[float, float]]:
+    """Of each domain its share of tokens aimed at and expected."""
+    aim, got = sum(report["target"]) or 1.0, sum(report["expected"]) or 1.0
+    return {d: (t / aim, e / got) for d, t, e in zip(report["domains"], report["target"], report["expected"], strict=True)}
+
+
+def repeated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` as often as the rates `found` say (see mix())."""
     luck = (F.pmod(F.xxhash64(F.lit("mix"), "id", "tag"), F.lit(1 << 30)) / float(1 << 30)).alias("luck")
     times = (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     often = materialise(found.select(F.col("id").alias("_i"), F.col("tag").alias("_t"), times.alias("_times")), "mixing-times")

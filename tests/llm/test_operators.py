@@ -515,6 +515,24 @@ def test_mixing_rows(spark, docs, empty):
     assert mixing.mix(empty, labelled, {"a": 1.0}).count() == 0 and mixing.mix(docs, labelled.where("false"), {}).count() == len(TEXTS)
 
 
+def test_pipeline_mixture(spark, caplog):
+    """The stage reaches its weights, in the rows that come out, and says what it reached; no document goes."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    with caplog.at_level("INFO", logger="corpus_pipeline"):
+        out = P.mix(spark, docs, sf).groupBy("doc_id").count().collect()
+    assert [r.levelname for r in caplog.records if r.name == "corpus_pipeline"] == ["INFO"]
+    found, report = mixing.rates(docs, mixing.labelled_domains(labels), P.MIXTURE, P.EPOCHS, P.LEAST)
+    assert all(abs(aim - got) <= P.OFF and aim == pytest.approx(P.MIXTURE[d]) for d, (aim, got) in mixing.shares(report).items())
+    times, members = {r.doc_id: r["count"] for r in out}, found.toPandas()
+    assert times.keys() == set(members["id"]) and min(times.values()) >= 1
+    mass = members["tokens"] * members["id"].map(times)
+    for i, d in enumerate(report["domains"]):
+        assert (mass * members[f"p{i}"]).sum() / mass.sum() == pytest.approx(P.MIXTURE[d], abs=0.02)
+
+
 # -- pipeline ------------------------------------------------------------------------------------------------------------
 
 
