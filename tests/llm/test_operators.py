@@ -428,6 +428,20 @@ def test_brown_beats_unigrams(spark):
     assert r.s > r.b and brown.perplexity(r.s, r.n) < brown.perplexity(r.b, r.n)
 
 
+def test_brown_assigns_further_words(spark):
+    """Words beyond the exchange items go by their own neighbours, whatever their endings; exchange runs until none moves."""
+    rng = np.random.default_rng(6)
+    left, right = ([f"{side}{i}{'xyz'[i % 3]}" for i in range(60)] for side in "lr")
+    rows = [(i, " ".join(w for _ in range(20) for w in (rng.choice(left), rng.choice(right)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fine, counts = brown.fit(docs, classes=3, own_words=20, groups=1, min_count=20)
+    of = lambda w: int(fine.of[fine.items([w.encode()])[1][0]])
+    assert {of(w) for w in left} != {of(w) for w in right} and len({of(w) for w in left}) == len({of(w) for w in right}) == 1
+    coarse, _ = brown.fit(docs, classes=3, own_words=20, groups=1, min_count=1 << 60)
+    total = lambda m: brown.score(docs, m, counts).agg(F.sum("score")).first()[0]
+    assert total(fine) > total(coarse) and np.allclose((10**fine.log_step).sum(1), 1)
+
+
 # -- top-k ---------------------------------------------------------------------------------------------------------------
 
 
