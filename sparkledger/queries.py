@@ -693,6 +693,12 @@ def connected_names(s: SparkSession, d: str) -> DataFrame:
     return entities.smallest_reachable(li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000).alias("b")).distinct())
 
 
+@query()
+def connected_links(s: SparkSession, d: str) -> DataFrame:
+    """Components of all links of parts and suppliers; the recursive SQL of connected_names bears only a part of them."""
+    return entities.smallest_reachable(B.table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100_000_000_000).alias("b")).distinct())
+
+
 @query(with_sql("r", f"SELECT recalling_firm, count(*) AS n, {ev(NEWEST, 5)} AS evidence, CAST(0.65 AS DOUBLE) AS confidence FROM r WHERE segment ILIKE '%mach%' AND recalling_firm LIKE '%7' GROUP BY 1"))
 def brand_candidates(s: SparkSession, d: str) -> DataFrame:
     rows = B.records(s, d).where(F.col("recalling_firm").like("%7"))

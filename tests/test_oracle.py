@@ -42,3 +42,19 @@ def test_query(spark, duck, name):
     names = [c[0] for c in got.description]
     assert sorted(names) == cols
     assert rows == sorted(([plain(r[names.index(c)]) for c in cols] for r in got.fetchall()), key=repr)
+
+
+def test_connected_links(spark):
+    """Every link of lineitem takes part, against union-find."""
+    links = {(r.l_partkey, r.l_suppkey + 100_000_000_000) for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()}
+    parent = {n: n for e in links for n in e}
+
+    def find(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    assert {r.node: r.root for r in queries.QUERIES["connected_links"](spark, SF).collect()} == {n: find(n) for n in parent}
