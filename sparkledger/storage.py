@@ -29,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below shared_dir() that nothing has used before."""
-    return f"{shared_dir(spark)}/sparkledger/{name}-{uuid.uuid4().hex}"
+    """A path below shared_dir() that nothing has used before, in a folder of this application's own."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkledger/{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,8 +50,21 @@ def discard(df: DataFrame) -> None:
     """Delete what materialise() wrote for df; only once nothing lazy reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table and archive that this application has put on shared storage.
+
+    Results are lazy and read those tables, so call it once the last of them is written or collected. The library's
+    own sources stay, as executors that start later fetch them.
+    """
+    _delete(spark, _own_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def ship_package(spark: SparkSession | None = None) -> None:
@@ -59,7 +76,7 @@ def ship_package(spark: SparkSession | None = None) -> None:
     with zipfile.ZipFile(packed, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    path = f"{shared_path(spark, 'code')}/sparkledger.zip"
+    path = f"{shared_dir(spark)}/sparkledger/code-{uuid.uuid4().hex}/sparkledger.zip"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
     out.write(bytearray(packed.getvalue()))
