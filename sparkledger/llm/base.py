@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from sparkledger.storage import discard, materialise, shared_path, ship_package
 
-__all__ = ["broadcast_if_small", "connected_components", "crc_bucket", "discard", "materialise", "shared_path", "small_batches"]
+__all__ = ["broadcast_if_small", "connected_components", "crc_bucket", "discard", "fresh", "materialise", "shared_path", "small_batches"]
 
-#: Rows of an Arrow batch between the JVM and Python; texts may be long, so far fewer than Spark's default.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch between the JVM and Python; texts may be long, so far fewer than Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: A side of a join is broadcast only after its size was counted and is no more than this.
 BROADCAST_BYTES = 32 << 20
 
@@ -21,7 +21,7 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session to `rows`, so that long texts don't fill a worker's memory.
+    """Bound the Arrow batches of this session to `rows` and BATCH_BYTES, so that long texts don't fill a worker's memory.
 
     Every operator that runs Python on the executors calls this first; it also sends them this package.
     """
@@ -29,6 +29,26 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark, key) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def _bytes(spark: SparkSession, key: str) -> int:
+    """A size setting in bytes, whatever its unit; negative ones stand for no bound."""
+    value = spark.conf.get(key)
+    return -1 if value.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value)
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like `names` that none of the columns `taken` has, whichever case it is written in."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
 
 
 def crc_bucket(key: Column, n: int) -> Column:
