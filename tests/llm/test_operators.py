@@ -8,6 +8,7 @@ import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -449,15 +450,17 @@ def test_top_k(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(700)]
     rows += [(1000 + i, rows[0][1]) for i in range(300)] + [(40, rows[40][1])] * 3  # a very common vector, and a repeated row
-    rows += [(None, rows[1][1]), (2000, None), (2020, []), (2040, [float("nan")] * 8), (2060, [None] * 8), (2080, [1e300] * 8), (2100, [0.5] * 3), (2101, [0.5] * 3)]
+    rows += [(None, rows[1][1]), (2000, None), (2020, []), (2021, []), (2040, [float("nan")] * 8), (2060, [None] * 8), (2100, [0.5] * 3), (2101, [0.5] * 3)]
+    # finite components of any size take part: within a long, beyond a double's exact integers, beyond a long
+    rows += [(3000, [1.0, 2.0]), (3001, [2500000.0, 1.0]), (3002, [0.5, 0.5]), (3020, [3e12, 1.0]), (3021, [-3e12, 5.0]), (3040, [1e300, -1e300]), (3041, [1e300, 1.0]), (3042, [2e300, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("v", F.lit("clash")).repartition(3)
     got = defaultdict(list)
     for r in topk.top_k(df, F.col("id") % 20 == 0, k=20, candidates=128, queries=16).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
-    ok = [(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)]
+    ok = [(i, tuple(int(Fraction(x) * 64 // 1) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     for q, v in {(i, v) for i, v in ok if i % 20 == 0}:
         best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))[:20]
-        assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(best, 1)], q
+        assert got[q] == [(n, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for n, (s, i) in enumerate(best, 1)], q
     assert set(got) == {i for i, _ in ok if i % 20 == 0} and topk.top_k(df.where("false"), F.col("id") % 20 == 0).count() == 0
 
 
@@ -466,11 +469,21 @@ def test_stops_on_proof():
     rows = rng.integers(-60, 60, (3000, 16))
     index = topk.Index(rows)
     queries = rng.integers(-60, 60, (40, 16))
-    found = index.candidates(queries, 20)
+    found = index.candidates(queries, 20, np.full(40, -np.inf))
     for q, at in zip(queries, found, strict=True):
         score = rows @ q
         assert set(np.flatnonzero(score >= np.sort(score)[-20])) <= set(at.tolist())
-    assert any(len(at) < len(rows) for at in found) and [s for s, _ in index.segments] == [64, 16, 4, 1]
+    assert any(len(at) < len(rows) for at in found) and len(index.segments) == 4
+    # a floor that no row reaches skips the block, one that some reach keeps them all
+    assert all(len(at) == 0 for at in index.candidates(queries, 20, np.full(40, 1e9)))
+    bars = np.array([np.sort(rows @ q)[-5] for q in queries], float)
+    for q, at, bar in zip(queries, index.candidates(queries, 20, bars), bars, strict=True):
+        assert set(np.flatnonzero(rows @ q >= bar)) <= set(at.tolist())
+    # postings hold only candidates that have a part of their size
+    few = rows.copy()
+    few[5, 3] = 4000
+    segments = topk.Index(few).segments
+    assert [(d, at.tolist()) for d, at, _ in segments[0][2]] == [(3, [5])] and not len(segments[0][0])
 
 
 # -- mixing --------------------------------------------------------------------------------------------------------------
