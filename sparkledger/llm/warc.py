@@ -5,6 +5,10 @@ archives on any file system, with its commit protocol. Reading: every task cuts
 meets, inside payloads too, and gives every such candidate the offset at which its successor must begin. Pointer
 jumping from the start of each file doubles the reach of each step until nothing is added; only candidates reached
 that way are records, and a record that its payload's magic had cut apart is joined again.
+
+Offsets come from one scan and bytes from a later one, whose byte ranges may be others (settings change, executors
+come and go). What the two have in common is a segment's content: it lies between two magics whatever the ranges, so
+its file and two hashes of its bytes name it in both, and segments of a file with equal bytes can stand for each other.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     seen = materialise(plan(pages, id_col, payload, min_bytes), "warc-repeats")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", " ").alias("url"), payload.alias("p"))
     rows = rows.withColumn("n", F.octet_length("p")).withColumn("d", sha1_base32(F.col("p")))
-    firsts = broadcast_if_small(seen.select(F.col("digest").alias("d2"), F.col("n").alias("n2"), "first"), 64)
+    firsts = broadcast_if_small(seen.select(F.col("digest").alias("d2"), F.col("n").alias("n2"), "first"), 160)
     rows = rows.join(firsts, (F.col("d") == F.col("d2")) & (F.col("n") == F.col("n2")), "left")
     again = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("id") > F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(EOL))
@@ -72,15 +76,18 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, fid, start, seg, seg_bytes, value): what lies between one magic and the next, in every task's byte range.
+    """(file, fid, k1, k2, value, start, seg): what lies between one magic and the next, in every task's byte range.
 
-    `start` is where the range begins in the file and `seg` orders the segments within it. `fid`, a hash of the file's
-    path, stands for it in the tables of offsets, which would otherwise repeat long paths.
+    `fid`, a hash of the file's path, stands for it in the tables of offsets, which would otherwise repeat long paths;
+    k1 and k2 are hashes of the segment's bytes. `start` is where the range begins in the file and `seg` orders the
+    segments within it; these two hold for one scan only.
     """
     rows = spark.read.option("lineSep", MAGIC).text(path)
     path_of = F.col("_metadata.file_path")
-    meta = rows.select("value", path_of.alias("file"), F.xxhash64(path_of).alias("fid"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seg"))
-    return meta.withColumn("seg_bytes", F.octet_length("value").cast("long"))
+    return rows.select(
+        "value", path_of.alias("file"), F.xxhash64(path_of).alias("fid"), F.xxhash64("value").alias("k1"), F.xxhash64(F.lit(1), F.octet_length("value"), "value").alias("k2"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seg"),
+    )
 
 
 def _header(name: str) -> Column:
@@ -99,22 +106,22 @@ def records(spark: SparkSession, path: str, prove: bool = True, offsets: bool =
     """
     segs = candidates(spark, path)
     magic = len(MAGIC)
-    # where each range of a file begins to cut: the bytes of all segments before it
-    parsed = segs.withColumn("head", F.substring_index("value", CLOSE, 1)).withColumn("size", _header("Content-Length"))
+    # one scan gives all places; where each range of a file begins to cut: the bytes of all segments before it
+    parsed = segs.withColumn("head", F.substring_index("value", CLOSE, 1)).withColumn("size", _header("Content-Length")).withColumn("seg_bytes", F.octet_length("value").cast("long"))
     ends = F.col("size").rlike("^[0-9]{1,15}$") & (F.octet_length("head") < F.col("seg_bytes"))
     length = F.octet_length("head") + 4 + F.when(ends, F.col("size").cast("long")).otherwise(F.lit(None)) + 4
-    small = materialise(parsed.select("fid", "start", "seg", "seg_bytes", (length + magic).alias("length")), "warc-candidates")
+    small = materialise(parsed.select("fid", "start", "seg", "k1", "k2", "seg_bytes", (length + magic).alias("length")), "warc-candidates")
     ranges = small.groupBy("fid", "start").agg(F.sum(F.col("seg_bytes") + magic).alias("bytes"), F.min("seg").alias("first"))
     before = Window.partitionBy("fid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("begin", F.coalesce(F.sum("bytes").over(before), F.lit(0))).select("fid", "start", "begin")
     within = Window.partitionBy("fid", "start").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     at = small.withColumn("ahead", F.coalesce(F.sum(F.col("seg_bytes") + magic).over(within), F.lit(0))).join(ranges, ["fid", "start"])
     # a segment follows its magic, so the candidate begins that much earlier; the first of a file follows none
-    spots = at.select("fid", "start", "seg", "seg_bytes", (F.col("begin") + F.col("ahead") - magic).alias("offset"), "length")
+    spots = at.select("fid", "k1", "k2", "seg_bytes", (F.col("begin") + F.col("ahead") - magic).alias("offset"), "length")
     files = 1 + small.count() // ROWS
     spots = materialise(spots.withColumn("next", F.col("offset") + F.col("length")).coalesce(files), "warc-offsets")
     real = _reachable(spots, files) if prove else spots.where("offset >= 0").select("fid", "offset")
-    return _assemble(segs, spots, real, offsets, files)
+    return _assemble(segs.drop("start", "seg"), spots, real, offsets, files)
 
 
 def _reachable(spots: DataFrame, files: int) -> DataFrame:
@@ -140,23 +147,46 @@ def _reachable(spots: DataFrame, files: int) -> DataFrame:
         jump, reach, n = longer, more, m
 
 
+def _named(segs: DataFrame, names: DataFrame) -> DataFrame:
+    """One segment of each of the (f, g1, g2) that `names` lists, with the columns of its row."""
+    same = (F.col("fid") == F.col("f")) & (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
+    once = names.select("f", "g1", "g2").distinct()
+    found = segs.join(broadcast_if_small(materialise(once, "warc-names"), 48), same, "left_semi").dropDuplicates(["fid", "k1", "k2"])
+    return found.join(names, same)
+
+
 def _assemble(segs: DataFrame, spots: DataFrame, real: DataFrame, offsets: bool, files: int) -> DataFrame:
-    """Records from their segments; only those that a magic in their payload cut apart are shuffled with their bytes."""
+    """Records from their segments; only those that a magic in their payload cut apart are shuffled with their bytes.
+
+    Segments of a file with equal bytes are told apart by nothing but their offsets, so one stands for all: where some
+    are records and others not, or where offsets are asked for, as many rows are made of it as there are records.
+    """
     marked = materialise(spots.join(real.withColumn("is_record", F.lit(True)), ["fid", "offset"], "left").coalesce(files), "warc-marked")
     fits = F.coalesce(F.col("is_record") & (F.col("next") - F.col("offset") <= F.col("seg_bytes") + len(MAGIC)), F.lit(False))
-    place = lambda rows, *more: materialise(rows.select(F.col("fid").alias("f"), F.col("start").alias("s"), F.col("seg").alias("g"), *more), "warc-places")
-    same = (F.col("fid") == F.col("f")) & (F.col("start") == F.col("s")) & (F.col("seg") == F.col("g"))
+    key = [F.col("fid").alias("f"), F.col("k1").alias("g1"), F.col("k2").alias("g2")]
+    keyed = materialise(marked.groupBy("fid", "k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.sum(fits.cast("int")).alias("good"), F.max(F.when(fits, F.col("offset"))).alias("offset")).coalesce(files), "warc-keys")
+    same = (F.col("fid") == F.col("f")) & (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))
     if offsets:
-        whole = segs.join(broadcast_if_small(place(marked.where(fits), "offset"), 24), same)
+        alone = materialise(keyed.where("n = 1 AND good = 1").select(*key, "offset"), "warc-alone")
+        whole = segs.join(broadcast_if_small(alone, 56), same).select("file", "offset", "value")
+        shared = keyed.where("n > 1 AND good > 0").select("fid", "k1", "k2")
+        places = marked.where(fits).join(shared, ["fid", "k1", "k2"], "left_semi").select(*key, "offset")
     else:
-        whole = segs.join(broadcast_if_small(place(marked.where(~fits)), 24), same, "left_anti").withColumn("offset", F.lit(None).cast("long"))
-    whole = whole.select("file", "offset", F.col("value").cast("binary").alias("value"))
+        # nearly all segments are records, so only the others are looked up
+        odd = materialise(keyed.where("good < n").select(*key), "warc-odd")
+        whole = segs.join(broadcast_if_small(odd, 48), same, "left_anti").select("file", F.lit(None).cast("long").alias("offset"), "value")
+        some = keyed.where("good < n AND good > 0")
+        places = some.select(*key, F.explode(F.sequence(F.lit(1), F.col("good").cast("int"))).alias("copy")).select("f", "g1", "g2", F.lit(None).cast("long").alias("offset"))
+    places = materialise(places, "warc-places")
+    if not places.isEmpty():
+        whole = whole.union(_named(segs, places).select("file", "offset", "value"))
+    whole = whole.withColumn("value", F.col("value").cast("binary"))
     cut = marked.where(F.col("is_record") & ~fits)
     if cut.isEmpty():
         return _parsed(whole)
     cut = materialise(cut.select("fid", "offset", "next"), "warc-cut")
-    parts = spots.where("offset >= 0").select("fid", "start", "seg", F.col("offset").alias("part")).join(cut, "fid").where("part >= offset AND part < next")
-    texts = segs.join(broadcast_if_small(materialise(parts, "warc-parts"), 40), ["fid", "start", "seg"]).select("file", "fid", "offset", "part", F.col("value").cast("binary").alias("value"))
+    parts = spots.where("offset >= 0").select(*key, F.col("offset").alias("part")).join(cut, F.col("f") == F.col("fid")).where("part >= offset AND part < next").drop("fid")
+    texts = _named(segs, materialise(parts, "warc-parts")).select("file", "fid", "offset", "part", F.col("value").cast("binary").alias("value"))
     joined = texts.groupBy("fid", "offset").agg(F.first("file").alias("file"), F.array_sort(F.collect_list(F.struct("part", F.base64("value").alias("v")))).alias("parts"))
     text = F.aggregate("parts", F.lit(None).cast("binary"), lambda acc, p: F.when(acc.isNull(), F.unbase64(p["v"])).otherwise(F.concat(acc, F.lit(MAGIC.encode()), F.unbase64(p["v"]))))
     return _parsed(whole.union(joined.select("file", "offset", text.alias("value"))))

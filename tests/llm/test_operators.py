@@ -276,6 +276,29 @@ def test_warc(spark):
     assert warc.round_trip(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("offsets", [False, True])
+def test_warc_other_splits(spark, offsets):
+    """Byte ranges that change between building and reading change no row; equal segments, records or not, are told apart."""
+    inner = "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
+    pages = [(i, "w", f"page {i} {'z' * (i * 91 % 3000)}" + (inner * (i % 4) if i % 5 == 0 else "")) for i in range(400)] + [(None, "n", "no id"), (None, "n", "no id"), (7000, "w", "dup"), (7000, "w", "dup")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    size, key = spark.conf.get("spark.sql.files.maxPartitionBytes"), "spark.sql.files.maxPartitionBytes"
+    try:
+        spark.conf.set(key, 20_000)
+        found = warc.round_trip(df, offsets=offsets)
+        spark.conf.set(key, 7_000)
+        rows = found.collect()
+        spark.conf.set(key, 50_000)
+        again = found.select("*").collect()
+    finally:
+        spark.conf.set(key, size)
+    want = Counter((i, h) for i, _, h in pages)
+    for got in (rows, again):
+        assert Counter((r.record_id, bytes(r.payload).decode()) for r in got) == want and all(r.intact for r in got)
+    if offsets:
+        assert len({(r.file, r.offset) for r in rows}) == len(pages)
+
+
 def test_warc_min_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     got = {r.record_id: (r.type, r.refers_to) for r in warc.round_trip(df, min_bytes=5).collect()}
