@@ -62,13 +62,14 @@ def imatch_fingerprints() -> str:
 def hilbert_shards(shards: int = 8) -> str:
     """The levels of each dimension, the curve's index from its table, and shards and slots from ranks."""
     levels = 1 << hilbert.BITS
-    position = lambda c: f"CAST('0x' || rpad(hex(encode(substr(coalesce({c}, ''), 1, 6))), 12, '0')[1:12] AS BIGINT)"
     level = lambda c: f"least((({c} - min({c}) OVER ()) * {levels}) // (max({c}) OVER () - min({c}) OVER () + 1), {levels - 1})"
-    wide = lambda c: f"least(CASE WHEN max({c}) OVER () - min({c}) OVER () < 1099511627776 THEN (({c} - min({c}) OVER ()) * {levels}) // (max({c}) OVER () - min({c}) OVER () + 1) ELSE CAST(floor(({c} - min({c}) OVER ()) / ((max({c}) OVER () - min({c}) OVER () + 1) / {levels})) AS BIGINT) END, {levels - 1})"
+    # whole values in binary order: a level each, or of many the share of rows before them
+    values = lambda c: f"""{c}s AS (SELECT {c}, CASE WHEN count(*) OVER () <= {levels} THEN (row_number() OVER (ORDER BY {c}) - 1) * {levels} // count(*) OVER () ELSE coalesce(sum(n) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {levels} // sum(n) OVER () END AS {c}_level
+            FROM (SELECT {c}, count(*) AS n FROM x GROUP BY 1))"""
     return f"""
-        WITH x AS (SELECT doc_id, lang, source, encode(coalesce(text, '')) AS b FROM documents),
-        y AS (SELECT doc_id, octet_length(b) + 1 AS size, {position("lang")} AS p0, {position("source")} AS p1, CAST(floor(log2(octet_length(b) + 1) * 8) AS BIGINT) AS p2, hex(b) AS hx FROM x),
-        z AS (SELECT *, {wide("p0")} * {levels * levels} + {wide("p1")} * {levels} + {level("p2")} AS cell FROM y),
+        WITH x AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, encode(coalesce(text, '')) AS b FROM documents), {values("lang")}, {values("source")},
+        y AS (SELECT doc_id, octet_length(b) + 1 AS size, lang_level, source_level, CAST(floor(log2(octet_length(b) + 1) * 8) AS BIGINT) AS p2, hex(b) AS hx FROM x JOIN langs USING (lang) JOIN sources USING (source)),
+        z AS (SELECT *, CAST(lang_level * {levels * levels} + source_level * {levels} + {level("p2")} AS BIGINT) AS cell FROM y),
         c AS (SELECT *, {hilbert.curve_table(3)}[cell + 1] AS curve FROM z),
         k AS (SELECT *, row_number() OVER (ORDER BY curve, md5(CAST(doc_id AS VARCHAR))) - 1 AS rk, count(*) OVER () AS n FROM c),
         s AS (SELECT *, n // {shards} AS small, n % {shards} AS more FROM k),

@@ -368,6 +368,46 @@ def test_shards(spark, docs, empty):
     assert hilbert.shard_documents(empty).count() == 0
 
 
+def test_shard_levels(spark):
+    """Strings are told apart by all of their characters, and by rows once there are many of them."""
+    near = spark.createDataFrame([(f"https://{c}.org",) for c in "zab"] + [(None,)], "source string")
+    bounds = hilbert.text_bounds(near, "source")
+    assert bounds == [("", 0), ("https://a.org", 4), ("https://b.org", 8), ("https://z.org", 12)]
+    assert {r.source: r.l for r in near.select("source", hilbert.text_level(F.col("source"), bounds).alias("l")).collect()} == {None: 0, "https://a.org": 4, "https://b.org": 8, "https://z.org": 12}
+    rows = [f"https://site/{i:04d}é" for i in range(300)] + ["https://site/0100é"] * 700
+    many = spark.createDataFrame([(v,) for v in rows], "source string").repartition(3)
+    bounds, ordered = hilbert.text_bounds(many, "source"), sorted(rows, key=str.encode)
+    for r in many.select("source", hilbert.text_level(F.col("source"), bounds).alias("l")).distinct().collect():
+        assert r.l == ordered.index(r.source) * 16 // 1000
+    assert hilbert.text_bounds(many.where("false"), "source") == []
+
+
+def test_shard_files_can_be_skipped(spark, tmp_path):
+    """Of the files cut along the curve, a query on any dimension needs far fewer than of files in order of arrival."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "repeat('x', CAST(pow(2, xxhash64(id, 1) % 1000 / 100.0) AS INT)) AS text", "element_at(array('de','en','fr','it'), CAST(1 + pmod(xxhash64(id, 2), 4) AS INT)) AS lang", "concat('https://site', lpad(CAST(pmod(xxhash64(id, 3), 90) AS STRING), 2, '0'), '.org') AS source")
+    placed = hilbert.shard_documents(docs).join(docs.select("doc_id", "lang", "source"), "doc_id")
+    hilbert.write_shards(placed, f"{tmp_path}/hilbert", 8)
+    placed.repartition(64, F.xxhash64("doc_id")).write.parquet(f"{tmp_path}/plain")
+
+    def needed(where):
+        of = lambda path: spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(*[f(c).alias(f"{n}_{c}") for c in ("lang", "source", "size") for n, f in (("low", F.min), ("high", F.max))])
+        return [of(f"{tmp_path}/{kind}").agg(F.sum(F.expr(where).cast("int")) / F.count(F.lit(1))).first()[0] for kind in ("hilbert", "plain")]
+
+    for where in ("low_lang <= 'en' AND high_lang >= 'en'", "low_source <= 'https://site40.org' AND high_source >= 'https://site40.org'", "low_size <= 20 AND high_size >= 16"):
+        cut, plain = needed(where)
+        print(where, cut, plain)
+        assert plain > 0.95 and cut < 0.6, (where, cut)
+
+
+def test_shard_hot_ids_and_clashes(spark):
+    """Rows without an id, or with one id, fill no piece by themselves; names of the operator's columns may be taken."""
+    df = spark.range(9000).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 7, id)) AS doc_id", "'t' AS text", "'en' AS lang", "'s' AS source", "id AS place", "'x' AS cell", "'y' AS by", "'z' AS curve", "'w' AS piece")
+    rows = hilbert.shard_documents(df).collect()
+    assert Counter(r.shard for r in rows) == {s: 1125 for s in range(8)} and {(r.shard, r.slot) for r in rows} == {(s, i) for s in range(8) for i in range(1125)}
+    out = hilbert.shard(df, {"a": F.lit(3)}, F.md5(F.col("doc_id").cast("string")), 4, "doc_id")
+    assert {"place", "cell", "by", "piece", "shard", "slot", "curve"} <= set(out.columns) and out.where("cell = 'x' AND by = 'y' AND piece = 'w'").select("place").distinct().count() == 9000
+
+
 # -- toxicity ------------------------------------------------------------------------------------------------------------
 
 
