@@ -1,20 +1,22 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint is eight positional bytes. Two fingerprints that differ in at most `distance` <= 4 bits differ in
-at most four bytes, so at least four positional bytes agree: that is the guaranteed minimum number of matches. The
-index lists fingerprints under every choice of four (position, byte) entries, which is the byte-position index
-intersected four lists at a time; pairs that meet in a list are tallied over all eight positions, kept when the tally
-reaches the minimum and when this list is the first that the pair shares (so each pair is looked at once), and
-verified by counting differing bits.
+at most that many bytes, so at least 8 - distance positional bytes agree: the guaranteed minimum number of matches.
+The index lists fingerprints under every choice of WIDTH (position, byte) entries, which is the byte-position index
+intersected that many lists at a time; of pairs that meet in a list the positional bytes they share are tallied, those
+that reach the minimum are retained (in the first list that they share, so each pair once) and verified by counting
+differing bits. Lists are chosen three entries deep, four when fingerprints are so many that lists would grow long.
 
 No list is expanded into all its pairs beyond `run_limit` entries. Members of longer lists take an exact linear way:
 two fingerprints at most four bits apart have a common neighbour at most two bits from each, so every member is
-written under itself and its one- and two-bit neighbours, and consecutive members under one neighbour are linked.
+written under itself and its one- and two-bit neighbours (2,081 rows), and consecutive members under one neighbour are
+linked. Lists that a sample shows to be long aren't gathered at all, their members take that way from the start.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from sparkledger.llm.base import broadcast_if_small, connected_components, materialise, small_batches
 
-MIN_MATCHES = 4
-POSITIONS = list(combinations(range(8), MIN_MATCHES))
+#: Entries that a list intersects, and distinct fingerprints up to which three will do.
+WIDTHS, FEW = (3, 4), 1 << 24
+#: One in so many fingerprints shows which lists are long.
+SAMPLED = 64
 #: Fingerprints under one index entry that are still compared pair by pair (with no more than a spanning set emitted).
 RUN_LIMIT = 2000
 #: Up to here all verified pairs of an index entry are emitted, beyond only links that span its components.
@@ -36,18 +40,19 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BYTE = np.uint64(255)
 
 
-def _first_choice() -> np.ndarray:
-    """For each set of agreeing positions the index of the first choice of four of them; -1 below four."""
-    order = {c: i for i, c in enumerate(POSITIONS)}
-    out = np.full(256, -1, np.int64)
+def _choices(width: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """Every choice of `width` positions, and for each set of agreeing positions the first choice within it (-1: none)."""
+    choices = list(combinations(range(8), width))
+    order = {c: i for i, c in enumerate(choices)}
+    first = np.full(256, -1, np.int64)
     for mask in range(256):
         on = tuple(i for i in range(8) if mask >> i & 1)
-        if len(on) >= MIN_MATCHES:
-            out[mask] = order[on[:MIN_MATCHES]]
-    return out
+        if len(on) >= width:
+            first[mask] = order[on[:width]]
+    return choices, first
 
 
-_FIRST = _first_choice()
+_CHOICES = {w: _choices(w) for w in WIDTHS}
 
 
 def simhash(text: str | None, words: int = 4, seed: int = 42) -> int:
@@ -84,16 +89,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "fp")
 
 
-def _compare(x: np.ndarray, y: np.ndarray, choice: np.ndarray, distance: int) -> np.ndarray:
-    """Which pairs reach the minimum tally, meet here first and differ in at most `distance` bits."""
-    near = np.flatnonzero(np.bitwise_count(x ^ y) <= distance)
-    diff = (x[near] ^ y[near]).view(np.uint8).reshape(-1, 8)
-    agree = np.packbits(diff == 0, axis=1, bitorder="little")[:, 0]
-    tally = np.bitwise_count(agree)
-    return near[(tally >= MIN_MATCHES) & (_FIRST[agree] == choice[near])]
+def _compare(x: np.ndarray, y: np.ndarray, choice: np.ndarray, distance: int, width: int) -> np.ndarray:
+    """Which pairs reach the guaranteed tally, meet here first and, of these, differ in at most `distance` bits."""
+    differ = x ^ y
+    agree = np.packbits(differ.view(np.uint8).reshape(-1, 8) == 0, axis=1, bitorder="little")[:, 0]
+    kept = np.flatnonzero((np.bitwise_count(agree) >= 8 - distance) & (_CHOICES[width][1][agree] == choice))
+    return kept[np.bitwise_count(differ[kept]) <= distance]
 
 
-def _spanning(x: np.ndarray, choice: int, distance: int) -> tuple[list[int], list[int]]:
+def _spanning(x: np.ndarray, choice: int, distance: int, width: int) -> tuple[list[int], list[int]]:
     """Links that join the members of one list into the components that its verified pairs form."""
     parent = np.arange(len(x))
 
@@ -106,7 +110,7 @@ def _spanning(x: np.ndarray, choice: int, distance: int) -> tuple[list[int], lis
     a, b = [], []
     for i in range(len(x) - 1):
         rest = x[i + 1 :]
-        for j in _compare(np.full(len(rest), x[i]), rest, np.full(len(rest), choice), distance).tolist():
+        for j in _compare(np.full(len(rest), x[i]), rest, np.full(len(rest), choice), distance, width).tolist():
             p, q = find(i), find(i + 1 + j)
             if p != q:
                 parent[max(p, q)] = min(p, q)
@@ -115,7 +119,7 @@ def _spanning(x: np.ndarray, choice: int, distance: int) -> tuple[list[int], lis
     return a, b
 
 
-def _runs(batches: Iterator[pa.RecordBatch], run_limit: int, distance: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], run_limit: int, distance: int, width: int) -> Iterator[pa.RecordBatch]:
     """Links of entries sorted by key; of a run beyond run_limit the members, with b null, as they pass by."""
     held_k, held_x, passing = np.empty(0, np.int64), np.empty(0, np.uint64), None
 
@@ -130,7 +134,7 @@ def _runs(batches: Iterator[pa.RecordBatch], run_limit: int, distance: int) -> I
             if n > run_limit:
                 yield out(x[s : s + n], None)
                 continue
-            a, b = _spanning(x[s : s + n], int(k[s] >> 32), distance)
+            a, b = _spanning(x[s : s + n], int(k[s] >> 32), distance, width)
             if a:
                 yield out(x[s : s + n][a], x[s : s + n][b])
         short = np.repeat((sizes <= PAIR_LIMIT) & (sizes > 1), sizes)
@@ -139,7 +143,7 @@ def _runs(batches: Iterator[pa.RecordBatch], run_limit: int, distance: int) -> I
             same = np.flatnonzero(k[d:] == k[:-d]) if d < len(k) else np.empty(0, np.int64)
             if not len(same):
                 break
-            ok = same[_compare(x[same], x[same + d], k[same] >> 32, distance)]
+            ok = same[_compare(x[same], x[same + d], k[same] >> 32, distance, width)]
             if len(ok):
                 yield out(x[ok], x[ok + d])
 
@@ -176,20 +180,33 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_k, last_x = k[-1:], x[-1:]
 
 
-def links(fps: DataFrame, distance: int = 4, run_limit: int = RUN_LIMIT) -> DataFrame:
+def links(fps: DataFrame, distance: int = 4, run_limit: int = RUN_LIMIT, width: int | None = None) -> DataFrame:
     """(a, b) longs between distinct fingerprints `fp` whose connected components are those of all pairs at most `distance` bits apart.
 
-    Short index entries give every verified pair; long ones only links that keep the same components.
+    Short lists give every verified pair; long ones only links that keep the same components. Nulls are ignored.
     """
     if distance not in (0, 2, 4):
         raise ValueError("distance is 0, 2 or 4: four matching bytes are guaranteed, and common neighbours lie half-way")
     spark = fps.sparkSession
+    fps = fps.select("fp").where("fp IS NOT NULL").distinct()
+    width = width or WIDTHS[fps.count() > FEW]
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)) for i in range(8)]
-    entries = [F.lit(n << 32).bitwiseOR(F.shiftleft(byte[i], 24)).bitwiseOR(F.shiftleft(byte[j], 16)).bitwiseOR(F.shiftleft(byte[k], 8)).bitwiseOR(byte[m]) for n, (i, j, k, m) in enumerate(POSITIONS)]
-    index = fps.select("fp").where("fp IS NOT NULL").distinct().select(F.explode(F.array(*entries)).alias("k"), "fp")
+
+    def under(rows: DataFrame) -> DataFrame:
+        entries = [reduce(lambda k, i: F.shiftleft(k, 8).bitwiseOR(byte[i]), c, F.lit(n).cast("long")) for n, c in enumerate(_CHOICES[width][0])]
+        return rows.select(F.explode(F.array(*[e if width == 4 else F.shiftleft(F.shiftrightunsigned(e, 24), 32).bitwiseOR(e.bitwiseAND(F.lit((1 << 24) - 1))) for e in entries])).alias("k"), "fp")
+
+    index, sampled = under(fps), under(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0))
+    hot = materialise(sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(8, 4 * run_limit // SAMPLED)).select("k"), "simhash-hot")
+    long = fps.where(F.lit(False))
+    if not hot.isEmpty():
+        hot = broadcast_if_small(hot, 16)
+        long = index.join(hot, "k", "left_semi").select("fp")
+        index = index.join(hot, "k", "left_anti")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = lambda d: d.repartition(parts, "k").sortWithinPartitions("k", "fp")
-    found = materialise(spread(index).mapInArrow(lambda it: _runs(it, run_limit, distance), "a long, b long"), "simhash-links")
+    found = spread(index.select("k", "fp")).mapInArrow(lambda it: _runs(it, run_limit, distance, width), "a long, b long")
+    found = materialise(found.union(long.select(F.col("fp").alias("a"), F.lit(None).cast("long").alias("b"))), "simhash-links")
     pairs = found.where("b IS NOT NULL")
     if found.where("b IS NULL").isEmpty():
         return pairs
@@ -216,29 +233,39 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(known, "fp").select(id_col, "fp", "component_id")
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs` without near-duplicates, all columns kept: of each component one row stays (see first_of_each())."""
-    return first_of_each(docs, lambda rows: components(rows, "_key", text_col, words, distance), id_col, text_col)
+def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, least: float | None = None) -> DataFrame:
+    """The rows of `docs` without near-duplicates, all columns kept: of each component one row stays (see first_of_each()).
+
+    With `least` texts link by the Jaccard similarity of their shingles instead of by fingerprints: at 0.8 about ten
+    bits of 64 differ, which no match of whole bytes is guaranteed for, so similar.components() finds them.
+    """
+    if least is None:
+        return first_of_each(docs, lambda rows: components(rows, "key", "text", words, distance), id_col, text_col)
+    from sparkledger.llm import similar
+
+    return first_of_each(docs, lambda rows: similar.components(rows, "key", "text", words, least), id_col, text_col)
 
 
 def first_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, one of each component that `grouped` finds for rows (_key, text_col).
+    """The rows of `docs`, one of each component that `grouped` finds for rows (key, text).
 
     It is the row with the smallest id (null ids last), of several with that id the one with the smallest text hash,
-    and of rows equal in both any one. The rows that go are joined by (id, text hash), broadcast only when few.
+    and of rows equal in both any one. The rows that go are joined by (id, text hash), broadcast only when few. Rows
+    travel as one column, so the names of theirs don't matter.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     tag = F.xxhash64(text, F.length(text))
-    found = grouped(docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), tag.alias("tag")).alias("_key"), F.col(text_col)))
-    rows = materialise(found.groupBy("_key", "component_id").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
-    marked = docs.withColumn("_id", F.col(id_col)).withColumn("_tag", tag)
-    key = lambda d: d.select(F.col("_key.id").alias("_i"), F.col("_key.tag").alias("_t"))
-    same = F.expr("_id <=> _i AND _tag = _t")
-    gone = materialise(key(rows.where("_key <> component_id")), "simhash-gone")
-    kept = marked.join(broadcast_if_small(gone, 24), same, "left_anti")
-    twice = materialise(key(rows.where("_key = component_id AND n > 1")), "simhash-twice")
+    found = grouped(docs.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), tag.alias("tag")).alias("key"), F.col(text_col).alias("text")))
+    rows = materialise(found.groupBy("key", "component_id").agg(F.count(F.lit(1)).alias("n")), "simhash-rows")
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), tag.alias("tag"))
+    back = lambda d: d.select(*[F.col(f"row.`{c}`") for c in docs.columns])
+    key = lambda d: d.select(F.col("key.id").alias("i"), F.col("key.tag").alias("t"))
+    same = F.expr("id <=> i AND tag = t")
+    gone = materialise(key(rows.where("key <> component_id")), "simhash-gone")
+    kept = carried.join(broadcast_if_small(gone, 24), same, "left_anti")
+    twice = materialise(key(rows.where("key = component_id AND n > 1")), "simhash-twice")
     if twice.isEmpty():
-        return kept.select(*docs.columns)
+        return back(kept)
     twice = broadcast_if_small(twice, 24)
-    once = kept.join(twice, same, "left_semi").dropDuplicates(["_id", "_tag"])
-    return kept.join(twice, same, "left_anti").union(once).select(*docs.columns)
+    once = kept.join(twice, same, "left_semi").dropDuplicates(["id", "tag"])
+    return back(kept.join(twice, same, "left_anti").union(once))
