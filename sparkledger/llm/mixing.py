@@ -18,7 +18,7 @@ from sparkledger.llm.base import broadcast_if_small, discard, materialise
 BUCKETS, PER_DOMAIN = 4096, 2000
 #: A document's evidence counts as much as this many words', so that long texts keep soft memberships.
 EVIDENCE = 12
-STEPS, TOLERANCE = 60, 1e-5
+STEPS, TOLERANCE, GAIN = 60, 1e-5, 1e-3
 #: Steps after which rates are written down, so that no rate is replayed from more.
 REPLAY = 10
 
@@ -113,8 +113,8 @@ def solve(members: DataFrame, k: int, weights: list[float], epochs: float | None
     weighed by one over the domain's tokens, and a step moves all documents of one membership alike, whatever their
     length. Every step is projected onto the rates allowed; one that doesn't bring the totals nearer is shortened, and
     at last replaced by the plain gradient. A domain with a target but without any expected token can't be met and is
-    reported in `unmet`; targets out of reach are approached until a step
-    lessens the squares by less than a thousandth.
+    reported in `unmet`; targets out of reach are approached until a step lessens the squares by less than GAIN of
+    what they are.
     """
     mass = F.col("copies") * F.col("tokens")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -162,7 +162,7 @@ def solve(members: DataFrame, k: int, weights: list[float], epochs: float | None
         now, gram = then, free
         history.append(y)
         out |= {"expected": now.tolist(), "steps": count}
-        if np.abs(now - target).sum() <= tolerance * total or gained <= 1e-3 * off(now):
+        if np.abs(now - target).sum() <= tolerance * total or gained <= GAIN * off(now):
             break
         if len(history) == REPLAY:
             older, stored = stored, materialise(stored.withColumn("now", _replayed(least, k, history)), "mixing-rates")
@@ -203,13 +203,14 @@ def shares(report: dict) -> dict[str, tuple[float, float]]:
 
 def repeated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` as often as the rates `found` say (see mix())."""
-    luck = (F.pmod(F.xxhash64(F.lit("mix"), "id", "tag"), F.lit(1 << 30)) / float(1 << 30)).alias("luck")
+    luck = F.pmod(F.xxhash64(F.lit("mix"), "id", "tag"), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    often = materialise(found.select(F.col("id").alias("_i"), F.col("tag").alias("_t"), times.alias("_times")), "mixing-times")
+    often = materialise(found.select(F.col("id").alias("i"), F.col("tag").alias("t"), times.alias("times")), "mixing-times")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumn("_tag", F.xxhash64(text, F.length(text)))
+    # rows travel as one column, so that no name of theirs can clash
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text, F.length(text)).alias("tag"))
     # nearly all rows come once, so only the others are looked up
-    other = materialise(often.where("_times <> 1"), "mixing-other")
-    joined = marked.join(broadcast_if_small(other, 32), F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_tag") == F.col("_t")), "left")
-    copies = F.coalesce(F.col("_times"), F.lit(1))
-    return joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).select(*docs.columns)
+    other = materialise(often.where("times <> 1"), "mixing-other")
+    joined = marked.join(broadcast_if_small(other, 32), F.expr("id <=> i AND tag = t"), "left")
+    copies = F.coalesce(F.col("times"), F.lit(1))
+    return joined.where(copies > 0).select("row", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).alias("copy")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
