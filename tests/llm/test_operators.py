@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -229,9 +230,54 @@ def test_similar(spark, docs, empty):
             least[comp[k]] = min(i, least.get(comp[k], i))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert Counter((r.doc_id, r.component_id) for r in similar.components(df).collect()) == Counter((i, least.get(comp[k])) for k, (i, _) in enumerate(rows))
-    kept = similar.one_per_component(df).collect()
+    kept = simhash.one_per_component(df, words=5, least=0.8).collect()
     assert len(kept) == len(set(comp.values())) and sorted(r.doc_id for r in kept if r.doc_id) == sorted(least.values())
-    assert similar.one_per_component(empty).count() == 0 and similar.one_per_component(docs).columns == docs.columns
+    assert simhash.one_per_component(empty, words=5, least=0.8).count() == 0 and simhash.one_per_component(docs, words=5, least=0.8).columns == docs.columns
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_similar_links(spark, block):
+    """One band that all texts share, leads that few are similar to: components as all pairs give them, whatever the blocks."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for k in range(90):
+        t = list(base)
+        for at in rng.choice(120, 1 + k % 9, replace=False):
+            t[at] = f"x{rng.integers(0, 6)}{at // 20}"
+        texts.append(" ".join(t))
+    texts = sorted(set(texts))
+    near = plain_similar(texts)
+    want = plain_components(near, range(len(texts)))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
+    found = similar.links(nodes, nodes.select(F.lit(1).cast("long").alias("k"), "node"), 0.8, 5, block)
+    assert {tuple(sorted((r.a, r.b))) for r in found.collect()} <= {tuple(sorted(p)) for p in near}
+    got = {r.node: r.root for r in connected_components(found).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) > 5
+
+
+def test_similar_bound():
+    """The bound never rules out a pair that reaches the similarity, also where maps are full."""
+    rng = np.random.default_rng(10)
+    for size in (40, 3000):
+        lead = rng.integers(0, 1 << 63, size, np.uint64)
+        pool = rng.integers(0, 1 << 63, size // 2, np.uint64)
+        sets = [np.unique(np.concatenate((rng.choice(lead, int(size * rng.uniform(0.6, 1)), replace=False), rng.choice(pool, int(size * rng.uniform(0, 0.3)), replace=False)))) for _ in range(60)]
+        lead = np.unique(lead)
+        batch = pa.RecordBatch.from_pydict({"a": [0] * 60, "b": range(60), "sa": [lead.view(np.int64)] * 60, "sb": [s.view(np.int64) for s in sets]})
+        got = next(similar._measured(iter([batch])))
+        nb, n = (np.array(got.column(c), np.int64) for c in ("nb", "n"))
+        lacks, adds = (np.frombuffer(b"".join(got.column(c).to_pylist()), np.uint64).reshape(60, -1) for c in ("lacks", "adds"))
+        assert n.tolist() == [len(set(s.tolist()) & set(lead.tolist())) for s in sets]
+        kept = 0
+        for i in range(60):
+            others = np.arange(i + 1, 60)
+            may = set(similar._may_reach(i, others, len(lead), nb, n, lacks, adds, 0.8).tolist())
+            kept += len(may)
+            for j in others.tolist():
+                x, y = set(sets[i].tolist()), set(sets[j].tolist())
+                assert j in may or len(x & y) / len(x | y) < 0.8
+        assert size > 40 or kept < 1000
 
 
 def test_pipeline_near_duplicates(spark):
@@ -429,12 +475,53 @@ def test_toxicity_edges(spark, docs, empty):
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 for r in rows) and {type(r.score) for r in rows} == {float}
     none = toxicity.fit(empty, labels.where("false"))
     assert toxicity.score(empty, none).count() == 0 and all(r.score < 0.01 for r in toxicity.score(docs, none).collect())
-    places = np.zeros(1 << toxicity.BITS, np.uint16)
-    chars, _ = toxicity._chars(["abcdef"])
-    for f, (_, _, h) in enumerate(toxicity._grams(chars)):
-        places[h] = f + 1
-    joined, apart = toxicity._present(["abcdef"], places), toxicity._present(["abc", "def", "ABCDEF", None, ""], places)
-    assert set(joined.tolist()) == {0, 1, 2, 3} and {x & 0xFF for x in apart.tolist() if x >> 32 == 2} == {0, 1, 2, 3} and all(x >> 32 in (0, 1, 2) for x in apart.tolist())
+
+
+def plain_features(text):
+    """Buckets of the distinct character n-grams, hashed one by one."""
+    t, m, out = (text or "").lower(), (1 << 32) - 1, set()
+    for n in toxicity.SIZES:
+        for i in range(len(t) - n + 1):
+            h = ord(t[i]) * 2654435761 & m
+            for c in t[i + 1 : i + n]:
+                h = ((h ^ h >> 15) * 2246822519 + ord(c) * 3266489917) & m
+            out.add(((h ^ h >> 13) * 668265263 & m) >> 32 - toxicity.BITS)
+    return out
+
+
+def test_toxicity_features(monkeypatch):
+    texts = [t for _, t in TEXTS] + ["abc", "def", "ABCDEF", "ab"]
+    want = [plain_features(t) for t in texts]
+    for span in (1 << 20, 997):  # the long texts whole, and by spans
+        monkeypatch.setattr(toxicity, "SPAN", span)
+        got = [f.tolist() for f in toxicity.features(iter(texts), np.ones(1 << toxicity.BITS, bool))]
+        assert [set(f) for f in got] == want and all(len(f) == len(set(f)) for f in got)
+
+
+def test_toxicity_against_plain_regression(spark):
+    """Scores are those of a logistic regression over all n-grams, solved by Newton steps in the space of the documents."""
+    rng = np.random.default_rng(12)
+    bad, good = ["idiot", "clown", "worthless", "rubbish"], ["river", "meadow", "market", "letter", "window"]
+    rows = [(i, " ".join(rng.choice(bad if rng.random() < (0.6 if i % 3 == 0 else 0.05) else good) for _ in range(8)), int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score(df, toxicity.fit(df, df.select("doc_id", "toxic"), steps=200)).collect()}
+    y = np.array([r[2] for r in rows], float)
+    held = [plain_features(t) for _, t, _ in rows]
+    cols = {f: k for k, f in enumerate(sorted(set().union(*held)))}
+    x = np.zeros((len(rows), len(cols)))
+    for i, fs in enumerate(held):
+        x[i, [cols[f] for f in fs]] = 1
+    n1, n0 = x[y == 1].sum(0) + 0.5, x[y == 0].sum(0) + 0.5
+    ratio = np.log(n1 / (y.sum() + 1)) - np.log(n0 / ((1 - y).sum() + 1))
+    x *= np.sign(ratio) * np.maximum(0, abs(ratio) - 2 * np.sqrt(1 / n1 + 1 / n0))
+    design, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(len(cols) + 1)
+    ridge = np.append(np.full(len(cols), 1e-3), 0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-design @ w))
+        hess = design.T @ (design * (p * (1 - p) / len(y))[:, None]) + np.diag(ridge + 1e-12)
+        w -= np.linalg.solve(hess, design.T @ (p - y) / len(y) + ridge * w)
+    want = 1 / (1 + np.exp(-design @ w))
+    assert all(abs(got[i] - want[i]) < 0.01 for i, _, _ in rows) and np.ptp(want) > 0.5
 
 
 # -- Brown model ---------------------------------------------------------------------------------------------------------
@@ -605,6 +692,39 @@ def test_mixing_rows(spark, docs, empty):
     assert mixing.mix(empty, labelled, {"a": 1.0}).count() == 0 and mixing.mix(docs, labelled.where("false"), {}).count() == len(TEXTS)
 
 
+def test_names_that_clash(spark):
+    """Columns that have names which the operators use inside, and a text of several MB, come through as they were."""
+    import corpus_pipeline as P
+
+    names = ["_id", "_tag", "_times", "_copy", "_i", "_t", "_toxicity", "toxicity", "id", "tag", "row", "key", "t", "i", "times", "copy", "rate", "curve_", "fp", "component_id", "n", "k", "word"]
+    texts = ["a b c d e f g", "a b c d e f g", "one two three four five six", None, "", "long " * 700_000, "you idiot"]
+    rows = [(i, t, "en", "s", 0, *[f"{c}{i}" for c in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)).repartition(2)
+    whole = lambda df: {tuple(r) for r in df.select(docs.columns).collect()}
+    labels = spark.createDataFrame([(0, 1, 0), (2, 0, 0), (6, 1, 1)], "doc_id long, quality int, toxic int")
+    assert whole(simhash.one_per_component(docs)) == {r for r in map(tuple, rows) if r[0] not in (1, 4)}
+    assert whole(simhash.one_per_component(docs, words=5, least=0.8)) == {r for r in map(tuple, rows) if r[0] not in (1, 4)}
+    out = mixing.mix(docs, mixing.labelled_domains(labels), {"high": 0.5, "low": 0.3, "toxic": 0.2}, None, 1.0)
+    assert whole(out) == set(map(tuple, rows)) and out.columns == docs.columns
+    kept = toxicity.score(docs, toxicity.fit(docs, labels), name="toxicity_")
+    assert whole(kept) == set(map(tuple, rows))
+    assert {c for c in hilbert.shard_documents(docs).columns} == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve"}
+    assert set(P.STAGES[0][1].__code__.co_names) >= {"fresh"}
+
+
+def test_pipeline_of_nothing(spark, empty, tmp_path):
+    """Every stage takes an empty table, and rows of nulls."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    bare = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for docs, n in ((empty, 0), (bare, 2)):
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() <= n
+        assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() == n
+
+
 def test_pipeline_mixture(spark, caplog):
     """The stage reaches its weights, in the rows that come out, and says what it reached; no document goes."""
     import corpus_pipeline as P
