@@ -12,18 +12,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkledger.llm.base import small_batches
+from sparkledger.llm.base import materialise, small_batches
 from sparkledger.llm.tokens import encoder
 
 #: Lengths that share a band; suffix sums are taken within bands and over bands, so no task gathers all lengths.
 BAND = 1024
+#: Files that a histogram is kept in: it is small, so few tasks sum it up and write it.
+FILES = 8
 
 
 def histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """(length, documents): how many rows of `docs` have each encoded length.
 
     `tokenizer` is the path of a public tokenizer file on every machine. Whole texts are encoded; null and empty texts
-    have length 0; repeated rows count each time; an empty table gives no rows. Other columns are not read.
+    have length 0; repeated rows count each time; an empty table gives no rows. Other columns are not read. The result
+    is kept on shared storage, so texts are encoded once however many answers are drawn from it.
     """
     small_batches(docs.sparkSession)
 
@@ -32,7 +35,8 @@ def histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(ids(t.as_py())) for t in b.column(0)], pa.int64())], ["length"])
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "length long").groupBy("length").agg(F.count(F.lit(1)).alias("documents"))
+    sizes = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "length long")
+    return materialise(sizes.groupBy("length").agg(F.count(F.lit(1)).alias("documents")).coalesce(FILES), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
