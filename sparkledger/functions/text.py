@@ -93,6 +93,16 @@ def ingest_date(c: Column) -> Column:
     return F.coalesce(compact_date(F.substring(c, 1, 8)), F.when(iso.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(iso, "yyyy-MM-dd")))
 
 
+def percent_encoded(c: Column) -> Column:
+    """Every byte but letters, digits and _.-~ as %XX."""
+    return F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def evidence_url(base: str, field: str, value: Column) -> Column:
-    """A link that looks one value up, percent-encoded."""
-    return F.concat(F.lit(f"{base}?search={field}:%22"), F.url_encode(value), F.lit("%22"))
+    """A link that looks one quoted value up."""
+    return F.concat(F.lit(f"{base}?search="), percent_encoded(F.concat(F.lit(f'{field}:"'), value, F.lit('"'))), F.lit("&limit=1"))
+
+
+def detail_path(value: Column) -> Column:
+    """The path of a record's own page."""
+    return F.concat(F.lit("/recalls/"), percent_encoded(value))

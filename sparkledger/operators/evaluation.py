@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# fixed values: the list of a payload that is counted, by its kind, and the figures of an estimate
+LISTS = {"retrieval": ("items", "rows"), "distribution": ("items", "groups"), "semantic_count": ("evidence_items",), "semantic_distribution": ("items", "groups"), "series": ("points",), "rows": ("rows",), "raw_firm_exposure": ("items",), "message": ("suggestions",), "clarification": ("suggestions",)}
+ESTIMATES = ("estimated_count", "verified_count", "validated_count", "candidate_count")
+
 
 def fingerprint(df: DataFrame, key: str) -> DataFrame:
     """One row (rows, distinct_keys, digest) that changes when any value of any row does, whatever the row order.
@@ -79,9 +86,54 @@ def debug_record(df: DataFrame, query_id: str, seq: int, title: str, params: dic
     return {"id": f"{query_id}_{seq}", "title": title, "plan": plan, "params": {k: str(v) for k, v in params.items()}, "source": source}
 
 
-def trace(spark: SparkSession, path: str, rows: list[dict], schema: str) -> None:
-    """Appends request traces as JSON lines with an id of their own."""
-    spark.createDataFrame([tuple(r.get(f.split()[0]) for f in schema.split(", ")) for r in rows], schema).withColumn("trace_id", F.expr("uuid()")).write.mode("append").json(path)
+def trace(spark: SparkSession, path: str, rows: list[dict], schema: str) -> list[str]:
+    """Appends request traces as JSON lines and returns the ids they got, in the order of the rows."""
+    fields = [f.split()[0] for f in schema.split(", ")]
+    ids = [str(uuid.uuid4()) for _ in rows]
+    spark.createDataFrame([(*(r.get(f) for f in fields), i) for r, i in zip(rows, ids, strict=True)], f"{schema}, trace_id string").write.mode("append").json(path)
+    return ids
+
+
+def _shown(part: Mapping, names: Iterable[str]) -> int | None:
+    return next((len(part[n]) for n in names if isinstance(part.get(n), list)), None)
+
+
+def response_metadata(data: Mapping | None, summary: str = "", model: str | None = None, provider: str | None = None) -> dict:
+    """What a log keeps of a payload: its kind, sizes, estimates and how it was found, but none of its rows."""
+    out = {"data_kind": data.get("kind") if data else None, "summary_chars": len(summary or "")}
+    out |= {k: v for k, v in (("provider", provider), ("model", model)) if v}
+    if not data:
+        return out
+    kind = data.get("kind")
+    if kind == "multi_section":
+        sections = [s for s in data.get("sections") or [] if isinstance(s, Mapping)]
+        kept = [{**{k: s.get(k) for k in ("id", "kind", "dimension", "source")}, "result_count": _shown(s, ("items", "rows")) or 0} for s in sections]
+        return out | {"section_count": len(kept), "result_count": sum(s["result_count"] for s in kept), "sections": kept}
+    if (n := _shown(data, LISTS.get(kind, ()))) is not None:
+        out["result_count"] = n
+    if kind in ("semantic_count", "semantic_distribution"):
+        out |= {k: data[k] for k in ESTIMATES if isinstance(data.get(k), int)}
+    out |= {k: data[k] for k in ("retrieval_mode", "embedding_fallback_reason") if data.get(k)}
+    if data.get("degraded"):
+        out["degraded"] = True
+    if kind in ("message", "clarification"):
+        out |= {k: data[k] for k in ("route", "reason") if data.get(k)}
+    return out
+
+
+def search_request(query: str, field: str, k: int, aliases: Iterable[str], filters: list[dict], rejected: bool = False) -> dict:
+    """The request of a search as it is logged: checked filters only; of rejected ones nothing but that they were."""
+    shown = {"items": [] if rejected else filters}
+    if rejected:
+        shown |= {"valid": False, "omitted_raw": True}
+    names = dict.fromkeys(a.strip() for a in aliases if a and a.strip())
+    return {"query": query, "field": field, "k": k, "aliases": list(names), "filters": shown}
+
+
+def provider_status(**providers: tuple[str | None, str | None, bool]) -> dict:
+    """{role}_provider, {role}_model and {role}_configured of each role's (provider, model, configured)."""
+    parts = ("provider", "model", "configured")
+    return {f"{role}_{part}": value for role, given in providers.items() for part, value in zip(parts, given, strict=True)}
 
 
 def highlights(rows: DataFrame, column: str, n: int = 3) -> list[str]:

@@ -64,6 +64,15 @@ def members(records: DataFrame, aliases: DataFrame, firms: DataFrame, edges: Dat
     return counts.join(evidence(rows, ["parent_group_id", "firm_id"], by_severity(catalog), F.col(catalog.shown_id), evidence_n), ["parent_group_id", "firm_id"], "left")
 
 
+def edge_evidence(edges: DataFrame, column: str, by: Iterable[str] = ("parent_group_id", "firm_id")) -> DataFrame:
+    """(by, edge_evidence): the distinct evidence of backed edges that isn't empty, in order.
+
+    Taken from the edges, of which a firm has few, and not from the records that they are joined to.
+    """
+    said = edges.where(backed() & F.col(column).isNotNull() & ~F.btrim(column).isin("", "{}"))
+    return said.groupBy(*by).agg(F.array_sort(F.collect_set(column)).alias("edge_evidence"))
+
+
 def nested_members(member_rows: DataFrame) -> DataFrame:
     """(parent_group_id, member_breakdown): members as a JSON list, by exposure, number of records and name."""
     entry = F.struct(-F.col("exposure_score"), -F.col("total_recalls"), F.col("firm_name"), F.struct("firm_id", "firm_name", "total_recalls", "exposure_score").alias("m"))

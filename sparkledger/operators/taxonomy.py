@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from sparkledger.functions.text import extract_prefix, normalize_text, slugify,
 
 NODE = "version string, node_id string, parent_id string, label string, definition string, examples array<string>, level int, status string"
 LABEL = "record_id string, version string, node_id string, level int, confidence decimal(5,4), evidence string, source_text_hash string, labeler string, model string"
+CACHE = "key string, text_hash string, node_id string, confidence double, written_at string"
 MAX_DEPTH = 20
 
-# fixed values: node ids of the first taxonomy, roots and the children of each
+#: A short tree of our own with the roots of the frozen one, which is in `recall_reasons`.
 ROOTS = ("quality_and_potency", "manufacturing_controls", "labeling_and_packaging", "regulatory_status", "storage_distribution", "other")
 CHILDREN = {
     "quality_and_potency": ("sterility", "microbial", "particulate", "potency", "dissolution", "impurities", "stability", "cross_contamination", "appearance", "content_uniformity"),
@@ -59,7 +62,7 @@ RULES = (
 
 
 def first_taxonomy(spark: SparkSession, version: str = "v1") -> DataFrame:
-    """The frozen tree of 24 nodes: 6 roots and 18 children."""
+    """The short tree of 24 nodes: 6 roots and 18 children."""
     title = lambda x: x.replace("_", " ").capitalize()
     rows = [(version, r, None, title(r), f"Reports about {r.replace('_', ' ')}.", [], 0, "active") for r in ROOTS]
     rows += [(version, c, r, title(c), f"Reports about {c.replace('_', ' ')}.", [], 1, "active") for r, cs in CHILDREN.items() for c in cs]
@@ -141,6 +144,27 @@ def distinct_texts(records: DataFrame, text: str, key: str) -> DataFrame:
     return rows.groupBy(text_hash(F.col(text)).alias("text_hash")).agg(F.min(text).alias("text"), F.count(F.lit(1)).alias("records"), F.min(key).alias("first_id"))
 
 
+def text_dates(records: DataFrame, text: str, date: str) -> DataFrame:
+    """(text, text_hash, records, first_date, last_date): each text as it is written once, blank ones left out."""
+    rows = records.where(F.col(text).isNotNull() & (F.btrim(text) != ""))
+    out = rows.groupBy(F.col(text).alias("text")).agg(F.count(F.lit(1)).alias("records"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    return out.select("text", text_hash(F.col("text")).alias("text_hash"), "records", "first_date", "last_date")
+
+
+def text_members(records: DataFrame, text: str, key: str, part_rows: int = 10_000) -> DataFrame:
+    """(text, text_hash, records, part, parts, record_ids): each text with the ids that have it, in order within a part.
+
+    A text of more than part_rows records is spread over as many parts by a hash of the id, so that no list and no task
+    grows with the commonest text. Null ids are counted and not listed.
+    """
+    rows = records.where(F.col(text).isNotNull() & (F.btrim(text) != "")).select(F.col(text).alias("text"), F.col(key).alias("_id"))
+    sizes = rows.groupBy("text").agg(F.count(F.lit(1)).alias("records"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("records") / part_rows).cast("int"))
+    placed = rows.join(sizes, "text").withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
+    out = placed.groupBy("text", "records", "part", "parts").agg(F.array_sort(F.collect_list("_id")).alias("record_ids"))
+    return out.select("text", text_hash(F.col("text")).alias("text_hash"), "records", "part", "parts", "record_ids")
+
+
 def rule_labels(records: DataFrame, text: str, key: str, rules: Iterable[Rule] = RULES, other: bool = False, taxonomy: DataFrame | None = None, version: str = "v1", labeler: str = "rules") -> DataFrame:
     """Label rows of all records: distinct texts are labelled once and joined back on their hash.
 
@@ -198,8 +222,33 @@ def model_labels(texts: DataFrame, label: Callable[[str], list[tuple[str, float]
     return (new if cache is None else cache.select("text_hash", "node_id", "confidence").union(new)), misses
 
 
-def cache_key(version: Column, digest: str, model: str, text_hash_col: Column, other: bool) -> Column:
-    return F.concat_ws("|", version, F.lit(digest), F.lit(model), text_hash_col, F.lit(str(other).lower()))
+def cache_key(version: Column, digest: str, model: str, text_hash_col: Column, other_node: str = "other") -> Column:
+    """SHA-256 (hex) of all that a cached answer depends on."""
+    return F.sha2(F.concat_ws("|", version, F.lit(digest), F.lit(model), text_hash_col, F.lit(other_node)), 256)
+
+
+def read_label_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(key, text_hash, node_id, confidence): the newest answers kept for each key; a cache not yet written is empty."""
+    try:
+        rows = spark.read.schema(CACHE).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], CACHE)
+    if not rows.where("key IS NULL").isEmpty():
+        raise ValueError(f"a line of the cache {path} has no key")
+    last = rows.groupBy("key").agg(F.max("written_at").alias("written_at"))
+    return rows.join(last, ["key", "written_at"], "left_semi").select("key", "text_hash", "node_id", "confidence")
+
+
+def append_label_cache(answers: DataFrame, path: str, key: Column) -> None:
+    """Appends answers (text_hash, node_id, confidence) as JSON lines, all of one call with one time.
+
+    A later run then asks for the texts alone whose key isn't there.
+    """
+    now = datetime.now(UTC).isoformat(timespec="microseconds")
+    rows = answers.select(key.alias("key"), "text_hash", "node_id", F.col("confidence").cast("double").alias("confidence"), F.lit(now).alias("written_at"))
+    rows.write.mode("append").json(path)
 
 
 def residual(records: DataFrame, labels: DataFrame, key: str, labeler: str, version: str = "v1", min_confidence: float = 0.70) -> DataFrame:

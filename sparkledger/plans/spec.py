@@ -53,6 +53,10 @@ class FilterSpec:
     values: tuple[str, ...]
 
 
+# fixed values: how the metrics of an exposure are called
+METRIC_LABELS = {ExposureMetric.severity_weighted: "severity-weighted exposure score", ExposureMetric.recall_count: "recall count"}
+
+
 @dataclass(frozen=True)
 class QuerySpec:
     intent: Intent
@@ -205,3 +209,16 @@ def summary(a: Answer, data: dict) -> list[str]:
     if data.get("mode") == "fts_only":
         lines.insert(0, "Found by words alone; the embedding provider did not answer.")
     return lines[:6] or ["No records match."]
+
+
+def exposure_section(a: Answer, metric: ExposureMetric = ExposureMetric.severity_weighted) -> dict:
+    """A leaderboard of parents as the one section of a multi-section payload, counted by the metric it is ranked by."""
+    data = payload(a)
+    primary = "total_recalls" if metric is ExposureMetric.recall_count else "exposure_score"
+    items = []
+    for r in data["items"]:
+        more = {k: v for k, v in r.items() if k != "evidence"} | {"primary_metric": metric.value, "primary_value": r[primary]}
+        items.append({"value": r["parent_group_name"], "label": r["parent_group_name"], "count": r[primary], "evidence": r.get("evidence") or [], "metadata": more})
+    about = {"metric": metric.value, "metric_label": METRIC_LABELS[metric], **a.metadata}
+    section = {"id": "parent_group_exposure", "title": f"Parent-group exposure by {METRIC_LABELS[metric]} (top {len(items)})", "kind": "distribution", "dimension": "parent_group", "source": "parent_group_exposure_v1", "items": items, "metadata": about}
+    return {"kind": "multi_section", "intent": Intent.parent_group_exposure.value, "sections": [section]}

@@ -13,7 +13,7 @@ from sparkledger.bindings import ORDERS, with_sql
 from sparkledger.functions import names as N
 from sparkledger.functions import stats, text
 from sparkledger.operators import aggregates as A
-from sparkledger.operators import entities, evaluation, fulltext, parents, retrieval, semantic
+from sparkledger.operators import entities, evaluation, fulltext, parents, recall_reasons, retrieval, semantic
 from sparkledger.operators import taxonomy as T
 from sparkledger.plans import catalog as C
 from sparkledger.plans import filters, routers, spec
@@ -220,7 +220,7 @@ def parent_exposure_view(s: SparkSession, d: str) -> DataFrame:
     return parents.parent_view(_members(s, d))
 
 
-@query()
+@query(with_sql("rafepm", f""", x AS ({MEMBERS_SQL}) SELECT parent_group_id, CAST(to_json(list({{'firm_id': firm_id, 'firm_name': firm_name, 'total_recalls': total_recalls, 'exposure_score': exposure_score}} ORDER BY exposure_score DESC, total_recalls DESC, firm_name)) AS VARCHAR) AS member_breakdown FROM x GROUP BY 1"""))
 def parent_members(s: SparkSession, d: str) -> DataFrame:
     return parents.nested_members(_members(s, d))
 
@@ -780,6 +780,104 @@ def core_gate(s: SparkSession, d: str) -> DataFrame:
     return evaluation.gate(_results(s, d), ["9", "21"])
 
 
+@query(with_sql("e", "SELECT parent_group_id, array_to_string(list(DISTINCT source_name ORDER BY source_name), ',') AS edge_evidence FROM e WHERE active AND review_status = 'confirmed' AND provenance_tier <> 'unknown' AND source <> 'llm' GROUP BY 1"))
+def edge_evidence(s: SparkSession, d: str) -> DataFrame:
+    return joined(parents.edge_evidence(B.edges(s, d), "source_name", ["parent_group_id"]), "edge_evidence")
+
+
+SEEDS_SQL = """, s AS (SELECT c_custkey AS seed_id, CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' X' ELSE 'no such' END AS firm_name, CASE c_custkey % 3 WHEN 1 THEN lower(c_name) ELSE '' END AS norm FROM customer),
+    h AS (SELECT seed_id, f.id FROM s JOIN f ON norm = lower(canonical_name) OR lower(firm_name) = lower(canonical_name))
+    SELECT seed_id, count(DISTINCT h.id) AS matches, min(h.id) AS firm_id, CASE WHEN count(h.id) = 0 THEN 'unresolved' WHEN count(DISTINCT h.id) > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome FROM s LEFT JOIN h USING (seed_id) GROUP BY 1"""
+
+
+@query(with_sql("f", SEEDS_SQL))
+def seed_names(s: SparkSession, d: str) -> DataFrame:
+    third, name = F.col("c_custkey") % 3, F.col("c_name")
+    seeds = B.table(s, d, "customer").select(F.col("c_custkey").alias("seed_id"), F.when(third == 0, F.upper(name)).when(third == 1, F.concat(name, F.lit(" X"))).otherwise("no such").alias("firm_name"), F.when(third == 1, F.lower(name)).otherwise("").alias("normalized_firm_name"))
+    return parents.resolve_seeds(seeds, B.firms(s, d), B.aliases(s, d)).select("seed_id", "matches", "firm_id", "outcome")
+
+
+REASONS = tuple(dict.fromkeys(e for *_, examples in recall_reasons.NODES for e in examples)) + ("Nothing of the kind",)
+_quoted = lambda x: "'" + x.replace("'", "''") + "'"
+REASON_SQL = f"x AS (SELECT p_partkey, lower([{', '.join(_quoted(r) for r in REASONS)}][1 + p_partkey % {len(REASONS)}]) AS norm FROM part)"
+_FROZEN_SQL = " UNION ALL ".join(f"SELECT p_partkey, {_quoted(r.node_id)} AS node_id, CAST({r.confidence} AS DECIMAL(5,4)) AS confidence FROM x WHERE regexp_matches(norm, {_quoted('|'.join(f'(?:{p})' for p in r.patterns))})" for r in recall_reasons.RULES)
+
+
+def _reasons(s: SparkSession, d: str) -> DataFrame:
+    """Parts with one of the taxonomy's example reasons each, or one that no rule takes."""
+    one = F.element_at(F.array(*[F.lit(r) for r in REASONS]), (F.lit(1) + F.col("p_partkey") % len(REASONS)).cast("int"))
+    return B.table(s, d, "part").select("p_partkey", one.alias("reason"))
+
+
+@query(f"WITH {REASON_SQL}, y AS ({_FROZEN_SQL}) SELECT CAST(p_partkey AS VARCHAR) AS record_id, node_id, confidence, 1 AS level FROM y UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'other', CAST(0 AS DECIMAL(5,4)), 0 FROM x WHERE p_partkey NOT IN (SELECT p_partkey FROM y)")
+def frozen_rule_labels(s: SparkSession, d: str) -> DataFrame:
+    return recall_reasons.labels(_reasons(s, d), "reason", "p_partkey", taxonomy=recall_reasons.frozen(s)).select("record_id", "node_id", "confidence", "level")
+
+
+@query("SELECT o_orderpriority AS text, sha256(lower(o_orderpriority)) AS text_hash, count(*) AS records, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM orders WHERE trim(o_orderpriority) <> '' GROUP BY 1")
+def text_dates(s: SparkSession, d: str) -> DataFrame:
+    return T.text_dates(B.table(s, d, "orders"), "o_orderpriority", "o_orderdate")
+
+
+@query("SELECT c_mktsegment AS text, count(*) OVER (PARTITION BY c_mktsegment) AS records, c_custkey AS record_id FROM customer WHERE trim(c_mktsegment) <> ''")
+def text_members(s: SparkSession, d: str) -> DataFrame:
+    lists = T.text_members(B.table(s, d, "customer"), "c_mktsegment", "c_custkey", part_rows=100)
+    return lists.select("text", "records", F.explode("record_ids").alias("record_id"))
+
+
+_REGISTERED = {"part": ("p_partkey", ["p_name", "p_type"]), "supplier": ("s_suppkey", ["s_name"])}
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, CAST({k} AS VARCHAR) AS source_id, '{c}' AS field, {c} AS content FROM {t}" for t, (k, cs) in _REGISTERED.items() for c in cs))
+def registered_texts(s: SparkSession, d: str) -> DataFrame:
+    return ingest.text_registry({t: B.table(s, d, t) for t in _REGISTERED}, _REGISTERED)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'E-' || CAST(event_id AS VARCHAR) ELSE 'sha1:' || sha1('{"a":' || CAST(event_id AS VARCHAR) || ',"b":"x"}') END AS id FROM events""")
+def row_ids(s: SparkSession, d: str) -> DataFrame:
+    key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("E-"), "event_id")).when(F.col("event_id") % 3 == 1, "")
+    raw = F.concat(F.lit('{"b": "x", "a": '), "event_id", F.lit("}"))
+    return B.table(s, d, "events").select("event_id", text.record_id(key, raw).alias("id"))
+
+
+@query("""WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 80 THEN rtrim(substr(t, 1, 79), ' ') || '…' ELSE t END AS shown FROM x""")
+def clipped_texts(s: SparkSession, d: str) -> DataFrame:
+    return B.table(s, d, "documents").select("doc_id", text.clip(F.col("text"), 80).alias("shown"))
+
+
+@query("""SELECT s_suppkey, 'https://example.org/x.json?search=' || url_encode('name:"' || s_name || ' *~"') || '&limit=1' AS url, '/recalls/' || url_encode(s_name || ' /') AS path FROM supplier""")
+def evidence_links(s: SparkSession, d: str) -> DataFrame:
+    name = F.col("s_name")
+    return B.table(s, d, "supplier").select("s_suppkey", text.evidence_url("https://example.org/x.json", "name", F.concat(name, F.lit(" *~"))).alias("url"), text.detail_path(F.concat(name, F.lit(" /"))).alias("path"))
+
+
+def _odd_tree(s: SparkSession, d: str) -> DataFrame:
+    """Regions as roots and nations below them, some under no root, some at a wrong level, some of one label."""
+    r, n = B.table(s, d, "region"), B.table(s, d, "nation")
+    key = F.col("n_nationkey")
+    roots = r.select(F.lit("v1").alias("version"), F.concat(F.lit("r"), "r_regionkey").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("label"), F.when(F.col("r_regionkey") == 2, 1).otherwise(0).alias("level"))
+    below = n.select(F.lit("v1").alias("version"), F.concat(F.lit("n"), key).alias("node_id"), F.when(key % 7 == 0, "none").otherwise(F.concat(F.lit("r"), "n_regionkey")).alias("parent_id"), F.when(key % 5 == 0, "same").otherwise(F.col("n_name")).alias("label"), F.when(key % 4 == 0, 2).otherwise(1).alias("level"))
+    return roots.union(below)
+
+
+@query("""WITH t AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS node_id, NULL AS parent_id, r_name AS label, CASE WHEN r_regionkey = 2 THEN 1 ELSE 0 END AS level FROM region UNION ALL
+    SELECT 'n' || CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 7 = 0 THEN 'none' ELSE 'r' || CAST(n_regionkey AS VARCHAR) END, CASE WHEN n_nationkey % 5 = 0 THEN 'same' ELSE n_name END, CASE WHEN n_nationkey % 4 = 0 THEN 2 ELSE 1 END FROM nation)
+    SELECT 'v1' AS version, node_id, 'several nodes with this label' AS problem FROM t WHERE label IN (SELECT label FROM t GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'v1', node_id, 'roots are of level 0' FROM t WHERE parent_id IS NULL AND level <> 0
+    UNION ALL SELECT 'v1', node_id, 'unknown parent' FROM t WHERE parent_id = 'none'
+    UNION ALL SELECT 'v1', t.node_id, 'not one level below its parent' FROM t JOIN t p ON p.node_id = t.parent_id WHERE t.level <> p.level + 1""")
+def taxonomy_problems(s: SparkSession, d: str) -> DataFrame:
+    return T.problems(_odd_tree(s, d))
+
+
+@query("""WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS text_hash, CASE p_partkey % 3 WHEN 0 THEN 'large' WHEN 1 THEN 'nonsense' ELSE 'promo' END AS node_id, least(greatest(p_size / 25.0 - 0.5, 0), 1) AS confidence FROM part)
+    SELECT text_hash, CASE WHEN node_id = 'nonsense' THEN 'other' ELSE node_id END AS node_id, round(CASE WHEN node_id = 'nonsense' THEN 0 ELSE confidence END, 6) AS confidence FROM a""")
+def guarded_answers(s: SparkSession, d: str) -> DataFrame:
+    node = F.when(F.col("p_partkey") % 3 == 0, "large").when(F.col("p_partkey") % 3 == 1, "nonsense").otherwise("promo")
+    answers = B.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("text_hash"), node.alias("node_id"), (F.col("p_size") / 25.0 - 0.5).alias("confidence"))
+    return T.guarded(answers, B.taxonomy(s)).withColumn("confidence", F.round("confidence", 6))
+
+
 # -- specifications ----------------------------------------------------------------------------------------------------
 
 

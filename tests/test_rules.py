@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from sparkledger.functions import names as N
 from sparkledger.functions import stats, text
 from sparkledger.operators import aggregates as A
-from sparkledger.operators import entities, evaluation, fulltext, parents, retrieval, semantic
+from sparkledger.operators import entities, evaluation, fulltext, parents, recall_reasons, retrieval, semantic
 from sparkledger.operators import taxonomy as T
-from sparkledger.plans import filters, routers, spec
+from sparkledger.plans import filters, gate, routers, spec
 from sparkledger.plans.catalog import RECALLS, schema_context, with_comments
 from sparkledger.plans.filters import Filter
 from sparkledger.sources import ingest
@@ -417,3 +417,86 @@ def test_plans_stay_pushed_down(spark):
 
     plan = A.count_total(B.records(spark, "/root/testdata/sf0.001"), B.ORDERS, [Filter("status", "eq", "F")])._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in plan and "o_totalprice" not in plan and "partial_count" in plan
+
+
+def test_gate():
+    assert gate.decide("  ", None).reason == "empty_question" and gate.closing(gate.decide("", None))["kind"] == "clarification"
+    inside = gate.decide("How many?", lambda q: {"route": "in_domain", "message": "ignored"})
+    assert (inside.reason, inside.message, gate.closing(inside)) == ("llm_in_domain", "", None)
+    out = gate.closing(gate.decide("weather", lambda q: {"route": "out_of_domain", "reason": "weather", "suggestions": [" a ", "", "b", "c", "d"]}))
+    assert (out["kind"], out["suggestions"], out["message"]) == ("message", ["a", "b", "c"], gate.MESSAGES["out_of_domain"])
+    assert gate.decide("hi", lambda q: {"route": "chitchat_meta", "message": "Hello."}).message == "Hello."
+    with pytest.raises(ValueError, match="unknown route"):
+        gate.decide("x", lambda q: {"route": "elsewhere"})
+    with pytest.raises(RuntimeError):
+        gate.decide("x", lambda q: (_ for _ in ()).throw(RuntimeError("down")))
+
+
+def test_response_metadata():
+    of = evaluation.response_metadata
+    assert of(None, "abc", "m", "p") == {"data_kind": None, "summary_chars": 3, "provider": "p", "model": "m"}
+    assert of({"kind": "distribution", "groups": [1, 2]}, "")["result_count"] == 2
+    got = of({"kind": "semantic_count", "evidence_items": [1], "estimated_count": 7, "verified_count": None, "degraded": True, "retrieval_mode": "fts_only"})
+    assert got == {"data_kind": "semantic_count", "summary_chars": 0, "result_count": 1, "estimated_count": 7, "retrieval_mode": "fts_only", "degraded": True}
+    many = of({"kind": "multi_section", "sections": [{"id": "a", "items": [1, 2]}, {"id": "b", "rows": [1]}, {"id": "c"}]})
+    assert (many["section_count"], many["result_count"], [s["result_count"] for s in many["sections"]]) == (3, 3, [2, 1, 0])
+    assert of({"kind": "message", "suggestions": [], "route": "out_of_domain", "reason": "r"})["route"] == "out_of_domain"
+
+
+def test_search_request():
+    raw = [{"column": "status", "op": "eq", "values": ["x"]}]
+    assert evaluation.search_request("q", "both", 5, [" a", "", "a"], raw) == {"query": "q", "field": "both", "k": 5, "aliases": ["a"], "filters": {"items": raw}}
+    assert evaluation.search_request("q", "both", 5, [], raw, rejected=True)["filters"] == {"items": [], "valid": False, "omitted_raw": True}
+    assert evaluation.provider_status(llm=("a", "b", True), embedding=(None, None, False))["embedding_configured"] is False
+
+
+def test_traces(spark, tmp_path):
+    path = str(tmp_path / "log")
+    ids = evaluation.trace(spark, path, [{"question": "a", "ms": 1}, {"question": "b", "ms": None}], "question string, ms long")
+    ids += evaluation.trace(spark, path, [{"question": "c", "ms": 3}], "question string, ms long")
+    assert {r.trace_id: r.question for r in spark.read.json(path).collect()} == dict(zip(ids, "abc", strict=True))
+
+
+def test_label_cache(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert T.read_label_cache(spark, path).isEmpty()
+    key = T.cache_key(F.lit("v1"), "digest", "model", F.col("text_hash"))
+    make = lambda rows: spark.createDataFrame(rows, "text_hash string, node_id string, confidence double")
+    T.append_label_cache(make([("h1", "a", 0.5), ("h1", "b", 0.4), ("h2", "a", 0.9)]), path, key)
+    T.append_label_cache(make([("h2", "c", 0.1)]), path, key)
+    cache = T.read_label_cache(spark, path)
+    assert sorted((r.text_hash, r.node_id) for r in cache.collect()) == [("h1", "a"), ("h1", "b"), ("h2", "c")]
+    texts = make([("h1", "", 0.0), ("h3", "", 0.0)]).withColumn("text", F.lit("t"))
+    answers, misses = T.model_labels(texts, lambda t: [("z", 1.0)], cache.where("text_hash = 'h1'"))
+    assert [r.text_hash for r in misses.collect()] == ["h3"] and answers.count() == 3
+
+
+def test_frozen_reasons(spark, records):
+    tree = recall_reasons.frozen(spark)
+    assert (tree.count(), tree.where("level = 0").count(), T.problems(tree).isEmpty()) == (24, 6, True)
+    assert len(recall_reasons.RULES) == 18 and recall_reasons.unknown_nodes(tree) == []
+    assert recall_reasons.unknown_nodes(tree.where("node_id NOT IN ('other', 'labeling_error')")) == ["labeling_error", "other"]
+    got = {(r.record_id, r.node_id, float(r.confidence)) for r in recall_reasons.labels(records, "reason_for_recall", "id").collect()}
+    assert got == {("1", "other", 0.0), ("3", "other", 0.0), ("2", "cgmp_deviation", 0.92), ("5", "other", 0.0), ("7", "other", 0.0)}
+
+
+def test_text_groups(spark, records):
+    dates = {r.text: (r.records, r.first_date, r.last_date) for r in T.text_dates(records, "reason_for_recall", "recall_initiation_date").collect()}
+    assert dates["lack of  STERILITY"] == (1, None, None) and " " not in dates and len(dates) == 5
+    rows = spark.createDataFrame([("hot", i) for i in range(1000)] + [("cold", 7), ("cold", None), (None, 1), (" ", 2)], "t string, id long")
+    lists = T.text_members(rows, "t", "id", part_rows=100).collect()
+    hot = [r for r in lists if r.text == "hot"]
+    assert sorted(i for r in hot for i in r.record_ids) == list(range(1000)) and max(len(r.record_ids) for r in hot) < 200
+    assert all(r.record_ids == sorted(r.record_ids) and (r.records, r.parts) == (1000, 10) for r in hot)
+    assert [(r.records, r.record_ids) for r in lists if r.text == "cold"] == [(2, [7])]
+
+
+def test_exposure_section(spark):
+    rows = spark.createDataFrame([(1, "P", 5, 9, ["D-1"])], "parent_group_id long, parent_group_name string, total_recalls long, exposure_score long, evidence array<string>")
+    a = spec.Answer("raw_firm_exposure", rows, {"available": True})
+    data = spec.exposure_section(a, spec.ExposureMetric.recall_count)
+    (item,) = data["sections"][0]["items"]
+    assert (item["value"], item["count"], item["evidence"], item["metadata"]["primary_metric"]) == ("P", 5, ["D-1"], "recall_count")
+    assert spec.exposure_section(a)["sections"][0]["items"][0]["count"] == 9
+    assert evaluation.response_metadata(data)["result_count"] == 1
+    assert spec.exposure_section(spec.Answer("raw_firm_exposure", None, {"available": False}))["sections"][0]["items"] == []
