@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import time
+import urllib.error
+import urllib.parse
+import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from pathlib import Path
 
+from pyarrow import fs as pa_fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +24,7 @@ RAW = "id string, source string, report_date date, raw string, fetched_at timest
 # fixed values: text and date keys of a report's JSON
 TEXT_KEYS = ("recall_number", "event_id", "status", "classification", "product_type", "voluntary_mandated", "initial_firm_notification", "recalling_firm", "address_1", "address_2", "city", "state", "country", "postal_code", "distribution_pattern", "product_description", "product_quantity", "reason_for_recall", "code_info", "more_code_info")
 DATE_KEYS = ("recall_initiation_date", "center_classification_date", "termination_date")
+INDEX = "source string, source_id string, field string, content string, content_hash string, embedding array<float>, stored_at timestamp"
 PAGE, MAX_SKIP = 1000, 25_000
 RETRY = {429, 500, 502, 503, 504}
 
@@ -74,11 +80,40 @@ class _Slice(InputPartition):
         self.first, self.last = first, last
 
 
+def http_get(url: str, api_key: str | None = None, timeout: float = 30) -> Callable[[str | None, int, int], list[dict]]:
+    """A client of a paged JSON endpoint for fetch_page(): a GET with limit, skip and search, whose `results` it returns."""
+
+    def get(search: str | None, skip: int, limit: int) -> list[dict]:
+        asked = {"limit": limit, "skip": skip} | ({"search": search} if search else {}) | ({"api_key": api_key} if api_key else {})
+        try:
+            with urllib.request.urlopen(f"{url}?{urllib.parse.urlencode(asked)}", timeout=timeout) as r:  # noqa: S310  the caller's own address
+                return json.load(r).get("results", [])
+        except urllib.error.HTTPError as e:  # is an OSError, but only some of its states are transient
+            after = e.headers.get("Retry-After", "")
+            raise HttpError(e.code, float(after) if after.isdigit() else None) from e
+
+    return get
+
+
+def saved_get(folder: str, field: str, low: str, high: str) -> Callable[[str | None, int, int], list[dict]]:
+    """The same of saved responses, which any file system that pyarrow knows may hold; they are read once, not once a page."""
+    fs, base = pa_fs.FileSystem.from_uri(folder) if "://" in folder else (pa_fs.LocalFileSystem(), folder)
+    names = sorted(f.path for f in fs.get_file_info(pa_fs.FileSelector(base)) if f.path.endswith(".json"))
+    rows = []
+    for name in names:
+        with fs.open_input_stream(name) as f:
+            rows += [r for r in json.loads(f.read()).get("results", []) if low <= str(r.get(field, "")) <= high]
+    return lambda search, skip, limit: rows[skip : skip + limit]
+
+
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.first, self.last = date.fromisoformat(options["since"]), date.fromisoformat(options["until"])
         self.days = int(options.get("days", "31"))
-        self.folder, self.field, self.base = options["folder"], options.get("date_field", "report_date"), options.get("search")
+        self.url, self.api_key, self.folder = options.get("url"), options.get("api_key"), options.get("folder")
+        self.field, self.base = options.get("date_field", "report_date"), options.get("search")
+        if bool(self.url) == bool(self.folder):
+            raise ValueError("give either url or folder")
 
     def partitions(self) -> list[_Slice]:
         out, at = [], self.first
@@ -89,12 +124,7 @@ class PagedReader(DataSourceReader):
         return out
 
     def read(self, part: _Slice) -> Iterator[tuple]:
-        low, high = f"{part.first:%Y%m%d}", f"{part.last:%Y%m%d}"
-
-        def get(search: str | None, skip: int, limit: int) -> list[dict]:
-            rows = [r for p in sorted(Path(self.folder).glob("*.json")) for r in json.loads(p.read_text()).get("results", [])]
-            return [r for r in rows if low <= str(r.get(self.field, "")) <= high][skip : skip + limit]
-
+        get = http_get(self.url, self.api_key) if self.url else saved_get(self.folder, self.field, f"{part.first:%Y%m%d}", f"{part.last:%Y%m%d}")
         for r in pages(get, build_search(self.base, self.field, part.first, part.last)):
             yield (json.dumps(r, sort_keys=True),)
 
@@ -102,7 +132,8 @@ class PagedReader(DataSourceReader):
 class PagedSource(DataSource):
     """spark.read.format("paged_records"): one partition a slice of dates, read page by page.
 
-    Options: folder (saved responses), since, until, days, date_field, search. A live client only replaces `get`.
+    Options: url (a live endpoint, with api_key) or folder (saved responses, on storage that all executors reach), since,
+    until, days, date_field, search.
     """
 
     @classmethod
@@ -180,6 +211,37 @@ def embed_pending(todo: DataFrame, embed: Callable[[list[str]], list[list[float]
     return todo.mapInPandas(run, StructType([*todo.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
 
 
+def store_pending(texts: DataFrame, path: str, embed: Callable[[list[str]], list[list[float]]], batch: int = 256, per_commit: int = 100_000) -> int:
+    """Embeds what the index under `path` lacks and appends it, about per_commit rows to a commit; the rows stored.
+
+    Rows are cut into commits by a hash of their key. A run that breaks off keeps its commits, and the next one starts
+    with the rows that are left. The newest row of a text (by stored_at) is its current one: see stored_index().
+    """
+    spark = texts.sparkSession
+    todo = pending(texts, stored_index(spark, path)).select("source", "source_id", "field", "content", "content_hash")
+    n = todo.count()
+    commits = -(-n // per_commit)
+    piece = F.pmod(F.xxhash64("source", "source_id", "field"), F.lit(commits))
+    for i in range(commits):
+        rows = embed_pending(todo.where(piece == i) if commits > 1 else todo, embed, batch)
+        rows.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return n
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    """The current row of each text that store_pending() has written; an index not yet written is empty."""
+    try:
+        rows = spark.read.schema(INDEX).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], INDEX)
+    key = ["source", "source_id", "field"]
+    last = rows.groupBy(*key).agg(F.max(F.struct("stored_at", "content_hash")).alias("_m"))
+    same = last.select(*key, F.col("_m.stored_at").alias("stored_at"), F.col("_m.content_hash").alias("content_hash"))
+    return rows.join(same, [*key, "stored_at", "content_hash"], "left_semi").select(*rows.columns)
+
+
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """Edge seeds of a JSON list, an object with a list `edges`, or JSON lines: one row a firm name."""
     schema = "parent_group string, firm_names array<string>, provenance_tier string, source string, source_name string, source_url string, source_id string, as_of_date string, confidence double"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from sparkledger.plans import filters, gate, routers, spec
 from sparkledger.plans.catalog import RECALLS, schema_context, with_comments
 from sparkledger.plans.filters import Filter
 from sparkledger.sources import ingest
+from sparkledger.streaming import updates
 
 RECORDS = [
     # id, number, firm, class, reason, product, status, day
@@ -500,3 +501,83 @@ def test_exposure_section(spark):
     assert spec.exposure_section(a)["sections"][0]["items"][0]["count"] == 9
     assert evaluation.response_metadata(data)["result_count"] == 1
     assert spec.exposure_section(spec.Answer("raw_firm_exposure", None, {"available": False}))["sections"][0]["items"] == []
+
+
+def test_upserted_parts(spark, tmp_path):
+    """A batch rewrites the parts it touches, and versions that no manifest needs go."""
+    schema, out = "id long, v long, fetched_at timestamp", str(tmp_path / "out")
+    want = {}
+    for i in range(4):
+        keys = range(50) if i == 0 else [i, 100 + i]
+        rows = [(k, i, datetime(2024, 1, 1 + i)) for k in keys] + [(0, 99, datetime(2023, 1, 1))]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        updates.upsert_stream(stream, out, str(tmp_path / "check"), parts=16).awaitTermination()
+        want |= dict.fromkeys(keys, i)
+        table = updates.current(spark, out)
+        assert {r.id: r.v for r in table.collect()} == want and table.columns == ["id", "v", "fetched_at"]
+    manifests = sorted(p.name for p in (tmp_path / "out").glob("m*"))
+    assert manifests == ["m000000000002", "m000000000003"]
+    first = [p for p in (tmp_path / "out" / "v000000000000").glob("_part=*")]
+    assert 0 < len(first) < 16 and {r.v for r in updates.current(spark, out, 3).collect()} == {0, 1, 2}
+
+
+def test_stored_embeddings(spark, tmp_path):
+    """Each commit is kept: a run that breaks off is taken up again, and changed texts are embedded anew."""
+    path, asked = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+    make = lambda rows: spark.createDataFrame([("s", str(i), "f", t) for i, t in rows], "source string, source_id string, field string, content string")
+
+    def embed(texts):
+        asked.add(len(texts))
+        if any(t == "bad" for t in texts):
+            raise RuntimeError("provider down")
+        return [[float(len(t))] for t in texts]
+
+    rows = [(i, "t" * (i + 1)) for i in range(40)]
+    texts = make([*rows, (40, "bad"), (41, " ")])
+    with pytest.raises(Exception, match="provider down"):
+        ingest.store_pending(texts, path, embed, per_commit=4)
+    done = ingest.stored_index(spark, path).count()
+    assert 0 < done < 40
+    assert ingest.store_pending(make(rows), path, embed, per_commit=10) == 40 - done
+    assert ingest.store_pending(make(rows), path, embed) == 0
+    assert ingest.store_pending(make([(0, "changed"), *rows[1:]]), path, embed) == 1
+    index = {r.source_id: list(r.embedding) for r in ingest.stored_index(spark, path).collect()}
+    assert len(index) == 40 and index["0"] == [7.0] and index["5"] == [6.0]
+
+
+def test_live_pages(spark):
+    """Pages over HTTP: not found is empty, a busy source is asked again."""
+    import http.server
+    import json
+    import threading
+    import urllib.parse
+
+    seen = []
+
+    class Source(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            seen.append(q)
+            month = q["search"].split("[")[1][4:6]
+            state = 429 if len(seen) == 1 else 404 if month == "02" else 200
+            self.send_response(state)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            if state == 200:
+                self.wfile.write(json.dumps({"results": [{"recall_number": f"D-{i}"} for i in range(int(q["skip"]), min(1500, int(q["skip"]) + int(q["limit"])))]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Source)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        spark.dataSource.register(ingest.PagedSource)
+        rows = spark.read.format("paged_records").option("url", f"http://127.0.0.1:{server.server_port}/x.json").option("api_key", "k").option("since", "2024-01-01").option("until", "2024-02-10").load()
+        assert rows.count() == 1500
+    finally:
+        server.shutdown()
+    assert all(q["api_key"] == "k" and q["search"].startswith("report_date:[2024") for q in seen) and {q["skip"] for q in seen} == {"0", "1000"}
+    with pytest.raises(Exception, match="either url or folder"):
+        spark.read.format("paged_records").option("since", "2024-01-01").option("until", "2024-02-10").load().count()
