@@ -149,7 +149,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         inner = F.when(short > 0, F.size(F.filter(F.element_at(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.greatest(short, F.lit(1))), lambda b: b > F.col("id")))).otherwise(0)
         sizes = [sum(map(len, groups[len(groups) - k :])) if k else 0 for k in range(len(groups) + 1)]
         part = F.element_at(F.array(*map(F.lit, sizes)), whole + 1) + inner
-    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("part", F.when(F.col("id").isNull(), len(bounds) + 1).otherwise(part).cast("int"))
+    # null ids have no ranges of their own: they are cut by their second key, the hash, which spreads all but equal texts
+    fall = F.least(F.floor((F.lit(2.0**63) - F.col("h").cast("double")) / 2.0**64 * parts), F.lit(parts - 1)).cast("int")
+    rows = rows.withColumn("h", F.xxhash64("t")).withColumn("part", F.when(F.col("id").isNull(), F.lit(len(bounds) + 1) + fall).otherwise(part).cast("int"))
     order = F.struct(F.col("id").isNotNull().alias("a"), F.col("id").alias("b"), F.col("h").alias("c"))
     firsts = sorted(rows.groupBy("part").agg(F.max(order).alias("m")).select("part", "m.b", "m.c").collect())
     before = [(r.part, r.b, r.c, firsts[i - 1].part) for i, r in enumerate(firsts)]

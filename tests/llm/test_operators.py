@@ -381,6 +381,22 @@ def test_imatch(spark, docs, empty):
     assert all(len(s) == 1 for s in same.values())
 
 
+def test_imatch_null_ids(spark):
+    """Rows with null ids lie in many parts, and follow each other by descending hash all the same."""
+    rows = [(None, f"null {i} some words of text {i * 7}") for i in range(300)] + [(i, f"text {i} of words") for i in range(40)] + [(None, "same")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed = imatch.neighbours(df).collect()
+    own = [r for r in placed if not r.extra]
+    assert len(own) == len(rows) and len({r.part for r in own if r.id is None}) > 8
+    in_order = sorted(own, key=lambda r: (r.id is None, -(r.id or 0), -r.h))
+    assert [(r.id, r.h) for r in sorted(own, key=lambda r: (r.part, r.id is None, -(r.id or 0), -r.h))] == [(r.id, r.h) for r in in_order]
+    want = Counter()
+    for a, b in zip(in_order, [*in_order[1:], in_order[0]], strict=True):
+        cut = len(a.t) // 3
+        want[hashlib.sha256((a.t[: len(a.t) - cut] + b.t[:cut]).encode()).hexdigest()] += 1
+    assert Counter(r.edited_sha256 for r in imatch.compare_edited(df).collect()) == want
+
+
 def test_likeness():
     a = "0011" * imatch.SUBSETS
     assert imatch.likeness(a, a) == 1.0 and imatch.likeness(a, "1100" * imatch.SUBSETS) == 0.0 and imatch.likeness("=x", "=y") == 0.0 and imatch.likeness("=x", "=x") == 1.0
