@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkledger import bindings as B
@@ -464,20 +464,28 @@ def _query_vector(s: SparkSession, d: str) -> list[float]:
     return [float(x) for x in row[0]]
 
 
+def _five(dist: Column) -> Column:
+    """Rounded to five places as the SQL does it: the scaled double half away from zero, signed zeros kept."""
+    scaled = dist * 1e5
+    whole = F.floor(F.abs(scaled)).cast("double")
+    away = F.signum(scaled) * (whole + F.when(F.abs(scaled) - whole >= 0.5, 1.0).otherwise(0.0)) / 1e5
+    return F.when(F.isnan(dist), dist).otherwise(away)
+
+
 def _index(s: SparkSession, d: str) -> DataFrame:
     return B.table(s, d, "embeddings").select(F.col("vec_id").alias("source_id"), F.lit("text").alias("field"), "embedding", "label")
 
 
 @query(f"WITH {VECTORS} SELECT vec_id AS source_id, round(dist, 5) AS dist, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INTEGER) AS rank FROM v ORDER BY dist, vec_id LIMIT 20")
 def vector_topk(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.vector_candidates(_index(s, d), _query_vector(s, d), 20, "text").select("source_id", F.round("dist", 5).alias("dist"), "rank")
+    return retrieval.vector_candidates(_index(s, d), _query_vector(s, d), 20, "text", _five).select("source_id", _five(F.col("dist")).alias("dist"), "rank")
 
 
 @query(f"WITH {VECTORS} SELECT vec_id AS source_id, round(dist, 5) AS dist, CAST(row_number() OVER (ORDER BY dist, vec_id) AS INTEGER) AS rank FROM v JOIN documents ON doc_id = vec_id WHERE lang = 'en' ORDER BY dist, vec_id LIMIT 20")
 def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
     docs = B.table(s, d, "documents").withColumnRenamed("doc_id", "recall_number")
     rows = retrieval.hard_filtered(_index(s, d), docs, C.Catalog({"lang": C.Kind.DIMENSION}), [Filter("lang", "eq", "en")])
-    return retrieval.vector_candidates(rows, _query_vector(s, d), 20, "text").select("source_id", F.round("dist", 5).alias("dist"), "rank")
+    return retrieval.vector_candidates(rows, _query_vector(s, d), 20, "text", _five).select("source_id", _five(F.col("dist")).alias("dist"), "rank")
 
 
 @query(f"WITH {VECTORS} SELECT label AS source_id, round(min(dist), 5) AS dist FROM v GROUP BY 1")

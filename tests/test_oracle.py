@@ -7,6 +7,7 @@ import decimal
 import math
 
 import duckdb
+import numpy as np
 import pytest
 
 from sparkledger import queries
@@ -58,3 +59,21 @@ def test_connected_links(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     assert {r.node: r.root for r in queries.QUERIES["connected_links"](spark, SF).collect()} == {n: find(n) for n in parent}
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "vector_topk_filtered"])
+def test_vector_topk_ties(spark, tmp_path, name):
+    """More than 20 distances that look equal at five places, among them such as differ in their last bits only."""
+    rng = np.random.default_rng(5)
+    way = rng.normal(size=64)
+    vectors = [way * (1 + i / 97) for i in range(300)] + [way + 1e-4 * rng.normal(size=64) for _ in range(100)] + [rng.normal(size=64) for _ in range(50)]
+    for case, vectors in (("one way", vectors), ("near", [way] + [way + 0.02 * rng.normal(size=64) for _ in range(2000)])):
+        path = str(tmp_path / case.replace(" ", "_"))
+        spark.createDataFrame([(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{path}/embeddings.parquet")
+        spark.createDataFrame([(i, "en") for i in range(len(vectors))], "doc_id long, lang string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+        con = duckdb.connect()
+        for t in ("embeddings", "documents"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+        want = [tuple(map(str, r)) for r in con.execute(queries.ORACLE[name]).fetchall()]
+        got = [tuple(map(str, r)) for r in queries.QUERIES[name](spark, path).select("source_id", "dist", "rank").collect()]
+        assert sorted(got) == sorted(want) and len(got) == 20
