@@ -236,8 +236,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, least: float | None = None) -> DataFrame:
     """The rows of `docs` without near-duplicates, all columns kept: of each component one row stays (see first_of_each()).
 
-    With `least` texts link by the Jaccard similarity of their shingles instead of by fingerprints: at 0.8 about ten
-    bits of 64 differ, which no match of whole bytes is guaranteed for, so similar.components() finds them.
+    With `least` texts link by the Jaccard similarity of their shingles: similar.components() checks the pairs that the
+    index gives, and finds those besides that it can't give: at 0.8 about ten bits of 64 differ, which no match of whole
+    bytes is guaranteed for.
     """
     if least is None:
         return first_of_each(docs, lambda rows: components(rows, "key", "text", words, distance), id_col, text_col)

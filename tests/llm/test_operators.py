@@ -256,6 +256,27 @@ def test_similar_links(spark, block):
     assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) > 5
 
 
+def test_similar_links_from_fingerprints(spark):
+    """Pairs that the byte-position index gives link if they reach the similarity, without a band in common."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(rng.permutation(base)), "a b c d e f", "g h i j k l"]
+    fps = [plain_simhash(" ".join(base)) ^ (1 << k) - 1 for k in (0, 4, 1, 0, 63)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
+    found = similar.links(nodes, nodes.select(F.col("node").alias("k"), "node"), 0.8, 5, fps=spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "node long, fp long"))
+    assert {tuple(sorted((r.a, r.b))) for r in found.collect()} == {(0, 1)}
+
+
+def test_similar_rest_stays_small(spark):
+    """Many pairs of a band that reach the similarity and not its lead: the worker hands on links that join them, not the pairs."""
+    base = [[f"{c}{i}" for i in range(300)] for c in "ab"]
+    texts = [" ".join(base[0])] + [" ".join([*base[1], f"end{i}"]) for i in range(120)]
+    nodes = spark.createDataFrame(list(enumerate(texts)), "node long, t string")
+    found = similar.links(nodes, nodes.select(F.lit(1).cast("long").alias("k"), "node"), 0.8, 5)
+    got = {r.node: r.root for r in connected_components(found).collect()}
+    assert found.count() == 119 and got == {i: 1 for i in range(1, 121)}
+
+
 def test_similar_bound():
     """The bound never rules out a pair that reaches the similarity, also where maps are full."""
     rng = np.random.default_rng(10)
