@@ -630,6 +630,29 @@ def test_brown_assigns_further_words(spark):
     assert total(fine) > total(coarse) and np.allclose((10**fine.log_step).sum(1), 1)
 
 
+def test_brown_exchanges_every_word(spark, monkeypatch):
+    """Rare words, and those beyond the head, are exchanged as well, whatever their endings; scores use their classes."""
+    monkeypatch.setattr(brown, "DENSE", 15)
+    monkeypatch.setattr(brown, "BUCKET", 3000)
+    rng = np.random.default_rng(8)
+    left, right = ([f"{side}{i}{'xyz'[i % 3]}" for i in range(400)] for side in "lr")
+    rows = [(i, " ".join(w for _ in range(20) for w in (rng.choice(left), rng.choice(right)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, counts = brown.fit(docs, classes=3, own_words=10, groups=1, head_words=30)
+    c = Counter(w for _, t in rows for w in t.encode().split())
+    assert len(model.head) <= 30 and max(c.values()) < 40
+    of = dict(zip(c, model.of[model.items(list(c))[1]].tolist(), strict=True))
+    sides = [{of[w.encode()] for w in side if w.encode() in of} for side in (left, right)]
+    assert len(sides[0]) == len(sides[1]) == 1 and sides[0] != sides[1]
+    asked = [*rows[:20], (1000, "never met"), (1001, "l1y never r1y r2z met"), (1002, None)]
+    got = {r.doc_id: r.score for r in brown.score(spark.createDataFrame(asked, "doc_id long, text string"), model, counts).collect()}
+    for i, t in asked:
+        toks = [b"", *brown.words(t), b""]
+        path = model.of[model.items(toks)[1]]
+        want = sum(math.log10(c[w] + 1) for w in toks if w) + model.log_step[path[:-1], path[1:]].sum() - model.log_size[path[1:]].sum()
+        assert got[i] == pytest.approx(want)
+
+
 # -- top-k ---------------------------------------------------------------------------------------------------------------
 
 
